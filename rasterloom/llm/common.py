@@ -43,6 +43,7 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

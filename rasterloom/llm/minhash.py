@@ -7,7 +7,7 @@ A pair of Jaccard similarity s meets in a table with probability
 ``(1 - (1 - s**r)**m)**2``: 0.9991 at 0.85 with r = 2, m = 6, and 0.9984 at 0.8 with m = 7.
 
 Equal sets become one class first. Each bucket then proves its members against its head
-(a star, not all pairs); buckets that still hold members of more than one component are
+(a star, not all pairs), then against its most central member; buckets that still hold members of more than one component are
 searched across components only, without pairs that lengths, sketches or the number of
 shingles found nowhere else rule out. Every candidate is confirmed on the full sets.
 """
@@ -172,19 +172,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2,
     lone = classes.select("rep", "n", "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(k), f"doc_id {kind}, words array<long>"), "sets")
+        return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows(k), f"doc_id {kind}, words array<long>"), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of pairs (u, v), those whose full sets are similar enough."""
-        pairs = written(pairs, "pairs")
-        if sets is None:
+        pairs, given = written(pairs, "pairs"), sets is not None
+        if not given:
             sets = sets_of(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
         both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("words").alias("a")), "u").join(
             sets.select(F.col("doc_id").alias("v"), F.col("words").alias("b")), "v"
         )
         both = both.select("u", "v", (F.size("a") + F.size("b")).cast("long").alias("total"), F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
         links = written(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * per_cent).select("u", "v").distinct(), "links")
-        drop(sets)
+        if not given:
+            drop(sets)
         drop(pairs)
         return links
 
@@ -209,22 +210,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2,
     open_ = open_.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * per_cent)
     open_ = written(open_.select("key", "rep", "n", "c", "sketch", "most"), "open")
     columns = ("rep", "n", "c", "sketch", "most")
-    left = open_.select("key", *(F.col(x).alias(x + "1") for x in columns))
-    right = open_.select("key", *(F.col(x).alias(x + "2") for x in columns))
     most = F.least("most1", "most2")
-    near = most * 100 >= (F.col("n1") + F.col("n2") - most) * per_cent
-    across = left.join(right, on=[left.key == right.key, F.col("rep1") < F.col("rep2"), F.col("c1") != F.col("c2"), near, _differ("sketch1", "sketch2") <= bits])
-    known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = confirmed(across.select(F.col("rep1").alias("u"), F.col("rep2").alias("v")).distinct().join(known, ["u", "v"], "left_anti"), sets)
-    links = stars.unionByName(more)
-    joined = written(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "joined")
+    near = (most * 100 >= (F.col("n1") + F.col("n2") - most) * per_cent) & (_differ("sketch1", "sketch2") <= bits)
+
+    def sides(x: DataFrame, i: int) -> DataFrame:
+        return x.select("key", *(F.col(c).alias(f"{c}{i}") for c in columns))
+
+    # a second star, about the member of each bucket with the fewest shingles of its own: mostly what the others were edited from
+    core = open_.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(F.col("n") - F.col("most"), "rep")).alias("core"))
+    again = sides(open_, 1).join(sides(core.select("key", "core.*"), 2), "key").where(F.col("c1") != F.col("c2")).where(near)
+    second = confirmed(again.select(F.least("rep1", "rep2").alias("u"), F.greatest("rep1", "rep2").alias("v")).distinct(), sets)
+    merged = written(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)), "merged")
+    open_ = open_.drop("c").join(merged.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed_keys = open_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rest = written(open_.join(mixed_keys, "key", "left_semi").select("key", *columns), "rest")
+    across = sides(rest, 1).join(sides(rest, 2), "key").where((F.col("rep1") < F.col("rep2")) & (F.col("c1") != F.col("c2"))).where(near)
+    more = confirmed(across.select(F.col("rep1").alias("u"), F.col("rep2").alias("v")).distinct(), sets)
+    links = stars.unionByName(second).unionByName(more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    joined = written(components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "joined")
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
     named = classes.select("h1", "h2", "n", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = named.select("h1", "h2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c"), "class_links")
     s = signed.select("doc_id", "n", "h1", "h2")
     out = s.join(named, (s.h1 == named.h1) & (s.h2 == named.h2) & (s.n == named.m) & s.doc_id.isNotNull(), "left")
     component = F.coalesce("c", "doc_id")
-    for x in (members, mixed, open_):
+    for x in (members, mixed, sets, rest):
         drop(x)
     return out.select(
         "doc_id",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, written
 
-GRAM = 32
+GRAM, CELLS = 32, 4
 _RNG = np.random.default_rng(98)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +63,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def stretches(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """The stretches of a text: anchor hash, content hash, first and last window."""
+    """The stretches of a text: anchor hash, content hash, first and last window, and the anchor's place."""
     grams = _grams(data, GRAM)
     tagged = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     place = (_lowest(tagged, size - GRAM + 1) & _PLACE).astype(np.int64)
@@ -75,7 +75,7 @@ def stretches(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     end = last + size - GRAM + 1
     content = (total[end] - total[first]) * _inverse(len(grams))[first]
     shape = (end - first).astype(np.uint64) * _SALT[1] + (anchor - first).astype(np.uint64) * _SALT[2]
-    return grams[anchor], _mix(content + shape), first, last
+    return grams[anchor], _mix(content + shape), first, last, anchor
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -107,29 +107,46 @@ def _scan(size: int):
             for i in range(batch.num_rows):
                 data = np.frombuffer(_bytes(batch["text"][i].as_py()), np.uint8)
                 if len(data) >= size:
-                    a, c, first, last = stretches(data, size)
-                    out.append((a.view(np.int64), c.view(np.int64), np.full(len(a), ids[i]), first.astype(np.int32), last.astype(np.int32)))
+                    a, c, *places = stretches(data, size)
+                    out.append((a.view(np.int64), c.view(np.int64), np.full(len(a), ids[i]), *(x.astype(np.int32) for x in places)))
                     held += len(a)
                 if held > 20_000 or out and i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "c", "doc_id", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "c", "doc_id", "first", "last", "anchor"])
                     out, held = [], 0
 
     return run
 
 
-def _windows(size: int):
+def _edges(size: int):
+    """Per edge: hashes of its windows, and of CELLS strings that its windows share, by their place against the anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = (size - GRAM) // CELLS
         for batch in batches:
             for i in range(batch.num_rows):
                 data = np.frombuffer(_bytes(batch["text"][i].as_py()), np.uint8)
-                grams = _grams(data, size)
+                inner = size - step
+                grams, cores = _grams(data, size), _grams(data, inner)
                 edges = batch["edges"][i].values
-                a, first, last = (edges.field(x).to_numpy() for x in ("a", "first", "last"))
+                a, first, last, anchor = (edges.field(x).to_numpy() for x in ("a", "first", "last", "anchor"))
+                # cell t holds the windows that begin (t + 1) * step - step + 1 .. (t + 1) * step bytes before the anchor
                 n = last - first + 1
+                doc = np.repeat(np.arange(len(a)), n)
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                cell = np.maximum(-(-(anchor[doc] - at) // step) - 1, 0)
+                core = anchor[doc] - cell * step  # the string of ``inner`` bytes from here lies in every window of the cell
+                cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (core[1:] != core[:-1]))))
+                offsets = np.concatenate((cut, [len(doc)])).astype(np.int32)
+                k = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(a, n)), pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), batch["doc_id"][i].as_py(), np.int64)), pa.array(at.astype(np.int32))],
-                    ["a", "w", "doc_id", "at"],
+                    [
+                        pa.array(a[doc[cut]]),
+                        pa.array((cores[core[cut]] + (anchor[doc[cut]] - core[cut]).astype(np.uint64) * _SALT[1]).view(np.int64)),
+                        pa.array(np.full(k, batch["doc_id"][i].as_py(), np.int64)),
+                        pa.array(at[cut].astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, pa.array(grams[at].view(np.int64))),
+                    ],
+                    ["a", "core", "doc_id", "at", "windows"],
                 )
 
     return run
@@ -170,25 +187,35 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """Spans [b, e) of docs' UTF-8 bytes that a ``size``-byte string covers which starts earlier too.
 
-    Earlier: in a smaller doc_id, or before in the same document. One row (doc_id, b, e) per
-    span found; spans overlap. doc_id must be a long without nulls.
+    Earlier: in a smaller doc_id, or before in the same document. Rows (doc_id, cover), at most
+    two a document; the spans of a cover may overlap. doc_id must be a long without nulls.
     """
-    shape = "a long, c long, doc_id long, first int, last int"
-    found = docs.mapInArrow(_scan(size), shape)
-    common = found.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k > 1")
-    again = written(found.join(common.select("a", (F.col("c0") != F.col("c1")).alias("varied")), "a"), "again")
-    start = F.struct("doc_id", "first")
-    firsts = again.groupBy("a", "c").agg(F.min(start).alias("origin"))
-    marked = written(again.join(firsts, ["a", "c"]).withColumn("new", F.col("origin") == start).drop("origin", "c"), "marked")
-    drop(again)
-    whole = marked.where("not new").select("doc_id", F.col("first").alias("b"), (F.col("last") + size).alias("e"))
-    edges = marked.where("new and varied").groupBy("doc_id").agg(F.collect_list(F.struct("a", "first", "last")).alias("edges"))
-    seen = docs.join(edges, "doc_id").mapInArrow(_windows(size), "a long, w long, doc_id long, at int")
-    seen = written(seen, "windows")
+    found = docs.mapInArrow(_scan(size), "a long, c long, doc_id long, first int, last int, anchor int")
+    origin = F.struct("doc_id", "first", "last", "anchor")
+    groups = written(found.groupBy("a", "c").agg(F.min(origin).alias("o"), F.count("*").alias("k")), "groups")
+    later = found.join(groups.where("k > 1").select("a", "c", "o"), ["a", "c"])
+    later = later.where((F.col("doc_id") != F.col("o.doc_id")) | (F.col("first") != F.col("o.first")))
+    span = F.struct(F.col("first").alias("b"), (F.col("last") + size).alias("e"))
+    whole = written(later.groupBy("doc_id").agg(F.collect_list(span).alias("cover")), "whole")
+    varied = groups.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    edges = groups.join(varied, "a").select("a", "o.*")
+    edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "first", "last", "anchor")).alias("edges"))
+    cells = docs.join(edges.hint("merge"), "doc_id").mapInArrow(_edges(size), "a long, core long, doc_id long, at int, windows array<long>")
+    cells = written(cells, "cells")
+    drop(groups)
+    # a window can only repeat if the string that all windows of its cell hold does
+    cores = cells.groupBy("a", "core").agg(F.count("*").alias("n")).where("n > 1").select("a", "core")
+    likely = written(cells.join(cores, ["a", "core"]).select("a", "doc_id", "at", "windows"), "likely")
+    drop(cells)
+    windows = likely.select("a", "doc_id", "at", F.posexplode("windows").alias("i", "w")).select("a", "w", "doc_id", (F.col("at") + F.col("i")).alias("at"))
     place = F.struct("doc_id", "at")
-    twice = seen.groupBy("a", "w").agg(F.min(place).alias("origin"), F.count("*").alias("k")).where("k > 1")
-    later = seen.join(twice, ["a", "w"]).where(F.col("origin") != place)
-    return whole.unionByName(later.select("doc_id", F.col("at").alias("b"), (F.col("at") + size).alias("e")))
+    twice = windows.groupBy("a", "w").agg(F.min(place).alias("o"), F.count("*").alias("k")).where("k > 1").select("a", "w", "o")
+    again = windows.join(twice, ["a", "w"]).where(F.col("o") != place)
+    single = again.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("at").alias("b"), (F.col("at") + size).alias("e"))).alias("cover"))
+    cover = written(whole.unionByName(single), "cover")
+    drop(whole)
+    drop(likely)
+    return cover
 
 
 def without_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
@@ -202,7 +229,7 @@ def without_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     """
     least = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
-    cover = written(repeats(docs, size), "cover").groupBy("doc_id").agg(F.collect_list(F.struct("b", "e")).alias("cover"))
+    cover = repeats(docs, size).groupBy("doc_id").agg(F.flatten(F.collect_list("cover")).alias("cover"))
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = docs.join(cover, "doc_id", "left").mapInArrow(_kept, shape)
+    out = docs.join(cover.hint("merge"), "doc_id", "left").mapInArrow(_kept, shape)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(least)))

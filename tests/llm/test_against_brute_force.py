@@ -269,9 +269,9 @@ def test_pages():
 
 def test_pages_without_markup(spark):
     menu = " ".join(f"m{i}" for i in range(20))
-    rows = [(i, f"http://h.example/{i}", f"<body><div>{menu}</div><div>own text of page {i} {'z' * i}</div></body>") for i in range(1, 5)] + [(9, None, None), (10, "http://other.example/", f"<div>{menu}</div>")]
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{menu}</div><div>{i}th own text of page {'z' * i}</div></body>") for i in range(1, 5)] + [(9, None, None), (10, "http://other.example/", f"<div>{menu}</div>")]
     got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
-    assert got[3]["text"] == "own text of page 3 zzz" and got[9]["text"] == "" and got[10]["text"] == menu
+    assert got[3]["text"] == "3th own text of page zzz" and got[9]["text"] == "" and got[10]["text"] == menu
 
 
 def test_secrets(spark, documents):

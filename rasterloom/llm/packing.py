@@ -54,18 +54,23 @@ def drawn(window: np.ndarray, sizes: np.ndarray, weights: np.ndarray, room: int)
     def due(v: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(v[:, None] * weights + 0.5), 0, sizes).astype(np.int64)
 
-    low, high = np.zeros(len(want)), np.full(len(want), (sizes / weights).max() + 1)
+    # never more than half a token of each queue off the even flow; past the end of a queue the bracket is open above
+    low = np.maximum((want - len(sizes)) / weights.sum(), 0.0)
+    high = (want + len(sizes)) / weights.sum()
+    high = np.where(due(high).sum(axis=1) < want, (sizes / weights).max() + 1, high)
+    close = min(len(sizes), room // 2)  # as windows lie ``room`` apart, brackets this narrow never overlap
     for _ in range(80):
+        if ((due(high) - due(low)).sum(axis=1) <= close).all():
+            break
         mid = (low + high) / 2
         over = due(mid).sum(axis=1) > want
         low, high = np.where(over, low, mid), np.where(over, mid, high)
-        if np.all(np.nextafter(low, np.inf) >= high):
-            break
     counts = due(low)
-    more = due(high) - counts  # due at the same moment: in the queues' order
+    more = due(high) - counts  # due at nearly the same moment: in the queues' order
     spare = want - counts.sum(axis=1)
     first = np.cumsum(more, axis=1) - more
-    return counts + np.clip(spare[:, None] - first, 0, more)
+    out = counts + np.clip(spare[:, None] - first, 0, more)
+    return np.where((want == sizes.sum())[:, None], sizes, out)
 
 
 def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width: int):

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import raster
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(raster.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(raster.SQL)

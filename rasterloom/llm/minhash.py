@@ -9,7 +9,8 @@ A pair of Jaccard similarity s meets in a table with probability
 Equal sets become one class first. Each bucket then proves its members against its head
 (a star, not all pairs), then against its most central member; buckets that still hold members of more than one component are
 searched across components only, without pairs that lengths, sketches or the number of
-shingles found nowhere else rule out. Every candidate is confirmed on the full sets.
+shingles found nowhere else rule out; an odd sketch of the sets leaves little but pairs
+that are links or almost. Every candidate is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import components, drop, written
 
 SKETCH = 64
+#: Bits of a set's odd sketch, the parity of its shingles by hash; sets differ in at least as many shingles as their sketches do in bits.
+ODD = 1024
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
@@ -133,15 +136,19 @@ def _set_rows(k: int):
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part["text"].to_pylist(), k)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "words"])
+                flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+                odd = [np.packbits((np.bincount((s % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))), _lists(np.concatenate([*odd, np.empty(0, np.int64)]), ODD // 64)],
+                    ["doc_id", "words", "odd"],
+                )
 
     return run
 
 
-def _differ(a: str, b: str) -> Column:
-    """How many bits of two sketches differ: about four for each minimum value that does."""
-    return reduce(Column.__add__, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH // 8)))
+def _differ(a: str, b: str, longs: int = SKETCH // 8) -> Column:
+    """How many bits of two arrays of longs differ; of sketches, about four for each minimum value that does."""
+    return reduce(Column.__add__, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2, m: int = 7) -> DataFrame:
@@ -172,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2,
     lone = classes.select("rep", "n", "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows(k), f"doc_id {kind}, words array<long>"), "sets")
+        return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows(k), f"doc_id {kind}, words array<long>, odd array<long>"), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of pairs (u, v), those whose full sets are similar enough."""
@@ -206,12 +213,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2,
     # Shingles that no other document of an open bucket has can't be common to any pair still in question.
     own = sets.select("doc_id", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.min("doc_id").alias("rep"))
     own = own.where("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    open_ = mixed.join(lone.select("rep", "sketch"), "rep").join(own, "rep", "left")
+    open_ = mixed.join(lone.select("rep", "sketch"), "rep").join(own, "rep", "left").join(sets.select(F.col("doc_id").alias("rep"), "odd"), "rep")
     open_ = open_.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * per_cent)
-    open_ = written(open_.select("key", "rep", "n", "c", "sketch", "most"), "open")
-    columns = ("rep", "n", "c", "sketch", "most")
+    open_ = written(open_.select("key", "rep", "n", "c", "sketch", "odd", "most"), "open")
+    columns = ("rep", "n", "c", "sketch", "odd", "most")
     most = F.least("most1", "most2")
     near = (most * 100 >= (F.col("n1") + F.col("n2") - most) * per_cent) & (_differ("sketch1", "sketch2") <= bits)
+    near = near & (_differ("odd1", "odd2", ODD // 64) * (100 + per_cent) <= (F.col("n1") + F.col("n2")) * (100 - per_cent))
 
     def sides(x: DataFrame, i: int) -> DataFrame:
         return x.select("key", *(F.col(c).alias(f"{c}{i}") for c in columns))

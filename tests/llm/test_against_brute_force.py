@@ -274,6 +274,34 @@ def test_pages_without_markup(spark):
     assert got[3]["text"] == "3th own text of page zzz" and got[9]["text"] == "" and got[10]["text"] == menu
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 40, 300):
+        ids = np.append(rng.integers(0, 3, n), -1)
+        order, first = pages.suffix_order(ids, 12)
+        key = [tuple(ids[i : i + 12].tolist()) for i in order]
+        assert key == sorted(key) and sorted(order.tolist()) == list(range(n + 1))
+        assert first.tolist() == [i == 0 or key[i] != key[i - 1] for i in range(n + 1)]
+
+
+def test_page_runs_across_blocks(spark):
+    """Runs that pages of one host share are found whatever block they fall in, and only those."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], rng.integers(0, 60))) for _ in range(60)]
+    shared = " ".join(f"s{i}" for i in range(15))
+    rows = [(i, f"http://h{i % 3}.example/", f"<div>{t} {shared if i % 4 else ''}</div>") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    tokens = {i: f"{t} {shared if i % 4 else ''}".split() for i, t in enumerate(texts)}
+    seen = {}
+    for i, t in tokens.items():
+        for j in range(len(t) - pages.LEAST + 1):
+            seen.setdefault((i % 3, *t[j : j + pages.LEAST]), set()).add(i)
+    for i, row in by_id(pages.main_text(df), "page_id").items():
+        t = tokens[i]
+        gone = {j + k for j in range(len(t) - pages.LEAST + 1) if len(seen[(i % 3, *t[j : j + pages.LEAST])]) > 1 for k in range(pages.LEAST)}
+        assert row["text"] == " ".join(x for j, x in enumerate(t) if j not in gone)
+
+
 def test_secrets(spark, documents):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = by_id(queries.op7_secret_scan(spark, SF))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import raster
+from .plans import imaging, raster  # noqa: F401  imaging adds its queries to raster's
 
 
 def queries() -> dict:

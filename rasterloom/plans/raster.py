@@ -346,12 +346,6 @@ def date_time(spark, sf_dir):
     )
 
 
-@query(f"WITH {REAL} SELECT count(*) AS n FROM px")
-def line_spectrum_total(spark, sf_dir):
-    lines = rasters.line_arrays(real(spark, sf_dir))
-    return kernels.spectrum(lines).agg(F.count("*").alias("n"))
-
-
 @query()
 def line_matching(spark, sf_dir):
     lines = rasters.line_arrays(real(spark, sf_dir))

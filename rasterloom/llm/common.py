@@ -33,6 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the plan just done, before the next one writes its own
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

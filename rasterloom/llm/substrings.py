@@ -199,10 +199,11 @@ def repeats(docs: DataFrame, size: int = 100) -> DataFrame:
     whole = written(later.groupBy("doc_id").agg(F.collect_list(span).alias("cover")), "whole")
     varied = groups.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     edges = groups.join(varied, "a").select("a", "o.*")
-    edges = edges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "first", "last", "anchor")).alias("edges"))
+    edges = written(edges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "first", "last", "anchor")).alias("edges")), "edges")
+    drop(groups)
     cells = docs.join(edges.hint("merge"), "doc_id").mapInArrow(_edges(size), "a long, core long, doc_id long, at int, windows array<long>")
     cells = written(cells, "cells")
-    drop(groups)
+    drop(edges)
     # a window can only repeat if the string that all windows of its cell hold does
     cores = cells.groupBy("a", "core").agg(F.count("*").alias("n")).where("n > 1").select("a", "core")
     likely = written(cells.join(cores, ["a", "core"]).select("a", "doc_id", "at", "windows"), "likely")

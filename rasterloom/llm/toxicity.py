@@ -65,19 +65,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, groups: tuple[tupl
     """Weights by feature and an intercept, learnt from labels.toxic of rows that are not held out.
 
     At most ``rows`` rows of either label are taken: enough for the few hundred features
-    that matter, whatever the corpus size. fairness weighs the squared change of the score
-    when an identity term is swapped.
+    that matter, whatever the corpus size. Each row counts for as many as its label has per
+    row taken, so the rate of toxic rows, and with it the scores, are those of all labels.
+    fairness weighs the squared change of the score when an identity term is swapped.
     """
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), "doc_id"
     some = named.where("toxic = 1").orderBy(*order).limit(rows).unionByName(named.where("toxic = 0").orderBy(*order).limit(rows))
+    full = {x["toxic"]: x["count"] for x in named.groupBy("toxic").count().collect()}
     # no more than 2 * rows rows of 12 bytes
     taken = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
     table = taken.mapInArrow(_featurise(groups), "toxic int, have binary, gone binary, come binary").toPandas()
     y = table["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {}, (4.0 if len(y) and y[0] else -4.0)
+    stands = np.where(y == 1, max(1.0, full[1] / rows), max(1.0, full[0] / rows))
+    stands /= stands.mean()
     have = [np.frombuffer(x, np.int32) for x in table["have"]]
     flat, doc = np.concatenate(have), np.repeat(np.arange(len(have)), [len(x) for x in have])
     size = 1 << BITS
@@ -88,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, groups: tuple[tupl
     swapped = np.unique(np.concatenate([np.frombuffer(x, np.int32) for c in ("gone", "come") for x in table[c]]))
     chosen = np.union1d(np.flatnonzero((np.abs(z) > 4.5) & (in1 + in0 >= 8)), swapped).astype(np.int64)
     if not len(chosen):
-        return {}, float(np.log(n1 / n0))
+        return {}, float(np.log((stands * y).sum() / (stands * (1 - y)).sum()))
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
@@ -99,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, groups: tuple[tupl
     m, v, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
     for t in range(1, steps + 1):  # Adam on the whole sample
         score = np.bincount(row, w[col], len(y)) + b
-        miss = 1 / (1 + np.exp(-score)) - y
+        miss = stands * (1 / (1 + np.exp(-score)) - y)
         grad = np.bincount(col, miss[row], len(w)) / len(y) + ridge * w
         if len(gone):
             change = fairness * (w[come] - w[gone]) / len(gone)

@@ -353,3 +353,19 @@ def test_swapped_terms_do_not_move_scores(spark):
         weights, _ = toxicity.fit(docs, marks, fairness=fairness)
         gap[fairness] = abs(weights.get(toxicity._hash("gay"), 0) - weights.get(toxicity._hash("straight"), 0))
     assert gap[10.0] < 0.2 * gap[0.0]
+
+
+def test_capped_rows_keep_the_rate_of_toxic_labels(spark):
+    """Where only the clean rows are cut, scores stay those of a fit on all rows."""
+    rng = np.random.default_rng(5)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = int(i % 12 == 0)
+        rows.append((i, " ".join(rng.choice(words, 10)) + (" vile" if rng.random() < (0.6 if toxic else 0.05) else "")))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    (all_w, all_b), (some_w, some_b) = toxicity.fit(docs, marks), toxicity.fit(docs, marks, rows=250)
+    vile = toxicity.features("vile")
+    assert abs(all_b - some_b) < 0.5
+    assert abs(all_b + sum(all_w.get(x, 0) for x in vile) - some_b - sum(some_w.get(x, 0) for x in vile)) < 0.8

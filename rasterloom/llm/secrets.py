@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and a randomness test battery for tokens of any form.
 
-A candidate is a long run of key-like characters with letters and digits mixed. Its
-encoding is inferred from its alphabet (hex, base32, base36, base62, base64). The battery
+A candidate is a long run of key-like characters with letters among them. Its encoding is
+inferred from its alphabet (hex, base32, base36, base62, base64); a run that mixes
+alphabets, as NAME=value or a path does, is split and its parts are candidates. The battery
 asks whether the token looks uniform in that alphabet: chi-squared on coarse symbol
 classes, runs above and below the middle, and serial correlation. A second p-value says
 how likely natural text would look that random: a bound by the likelihood ratio of the
@@ -27,6 +28,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_LEAST = 20
+_VALUE = re.compile(r"[^=]+(?:=+\Z)?")
+#: A part between these holds base64url, base64, or letters and digits only.
+_PARTS = [re.compile(r"[^/+]+"), re.compile(r"[^_-]+"), re.compile(r"[^/+_-]+")]
 _ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 _ALPHABETS = [
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
@@ -106,14 +111,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
 
+def _split(token: str) -> list[tuple[int, int]]:
+    """The parts of a run that fits no alphabet: between '=', and of those that still fit none, between the other signs."""
+    out = []
+    for v in _VALUE.finditer(token):
+        if inferred(v[0]):
+            out.append(v.span())
+        else:
+            out += sorted({(v.start() + m.start(), v.start() + m.end()) for x in _PARTS for m in x.finditer(v[0])})
+    return [(b, e) for b, e in out if e - b >= _LEAST]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """Key-like runs with letters and digits: (start, end, token, alphabet)."""
+    """Key-like runs with letters, or the parts of those that mix alphabets: (start, end, token, alphabet). Parts may overlap."""
     out = []
     for m in _TOKEN.finditer(text):
-        token = m[0]
-        digits = sum(c.isdigit() for c in token)
-        if digits and digits < len(token) and (kind := inferred(token)):
-            out.append((m.start(), m.end(), token, kind[1]))
+        for b, e in [(0, len(m[0]))] if inferred(m[0]) else _split(m[0]):
+            token = m[0][b:e]
+            if any(c.isalpha() for c in token) and (kind := inferred(token)):
+                out.append((m.start() + b, m.start() + e, token, kind[1]))
     return out
 
 
@@ -153,12 +169,13 @@ def _found(logs: np.ndarray, least: float, cut: float):
                 for raw in part["text"]:
                     text = raw.as_py()
                     base = base_spans(text or "")
-                    spans = list(base)
+                    spans, random = list(base), []
                     for start, end, token, letters in candidates(text or ""):
                         if any(b < end and start < e for _, b, e in base):
                             continue
                         if battery(token, letters) >= least and natural_p(token, letters, logs) <= cut:
-                            spans.append(("random", start, end))
+                            random.append((start, end))
+                    spans += [("random", b, e) for b, e in random if not any(x <= b and e <= y and (x, y) != (b, e) for x, y in random)]
                     spans.sort(key=lambda x: (x[1], _ORDER[x[0]], x[2]))
                     clean, done = [], 0
                     for _, b, e in spans:

@@ -369,3 +369,18 @@ def test_capped_rows_keep_the_rate_of_toxic_labels(spark):
     vile = toxicity.features("vile")
     assert abs(all_b - some_b) < 0.5
     assert abs(all_b + sum(all_w.get(x, 0) for x in vile) - some_b - sum(some_w.get(x, 0) for x in vile)) < 0.8
+
+
+def test_keys_in_runs_that_mix_alphabets(spark):
+    """A key is found behind a name, in a hyphenated path and without a digit; words in such runs are not."""
+    rng = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(letters, 32)) for _ in range(20)] + ["".join(rng.choice(letters[:52], 40)) for _ in range(10)]
+    form = ["set SIGNING_KEY={} here", "see session={} here", "get /v1/my-path/{} here"]
+    rows = [(i, form[i % 3].format(k) if i < 20 else f"the value {k} here") for i, k in enumerate(keys)]
+    words = "the thirteenth of september meeting was held as internationalisation went on in 1999 and 2024 get set see value here path session ".split()
+    rows += [(100 + i, "the state-of-the-art/internationalisation=of-meetings-in-2024 and donaudampfschifffahrtsgesellschaft went on") for i in range(30)]
+    rows += [(200 + i, " ".join(rng.choice(words, 200))) for i in range(50)]
+    got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(k not in got[i]["clean"] for i, k in enumerate(keys)) >= 28
+    assert not any(got[100 + i]["spans"] for i in range(30))

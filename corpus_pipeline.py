@@ -29,11 +29,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts <SECRET> for every secret found; n_chars follows the text."""
-    found = secrets.scan(docs).where("spans <> ''").select("doc_id", F.col("clean").alias("_text")).dropDuplicates(["doc_id"])
-    fixed = docs.join(found, "doc_id", "left")
-    n_chars = F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
-    return fixed.withColumn("n_chars", n_chars).withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)
+    """Puts <SECRET> for every secret found, row by row whatever its doc_id; n_chars follows the text, other rows stay as they are."""
+    found = secrets.scan(docs, carry=True)
+    n_chars = F.when(F.col("spans") != "", F.col("n_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", n_chars).withColumnRenamed("clean", "text").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,8 +158,8 @@ def _tested(logs: np.ndarray, least: float):
     return run
 
 
-def _found(logs: np.ndarray, least: float, cut: float):
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean", "n_clean"]
+def _found(logs: np.ndarray, least: float, cut: float, lead: list[str]):
+    names = [*lead, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean", "n_clean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +187,12 @@ def _found(logs: np.ndarray, least: float, cut: float):
                     counts = [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
                     rows.append((*counts, hashlib.sha256(told.encode()).hexdigest(), ",".join(f"{k}:{b}:{e}" for k, b, e in spans), clean, None if clean is None else len(clean)))
                 kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(part[x] for x in lead), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     return run
 
 
-def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3) -> DataFrame:
+def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3, carry: bool = False) -> DataFrame:
     """Finds secrets in every text.
 
     rate is the share of false discoveries allowed among the tokens that the battery adds,
@@ -200,10 +200,11 @@ def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3) -> DataFrame:
     docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end), clean (the
     text with <SECRET> for each span, overlapping spans as one) and n_clean, its length.
     Null and empty texts have no span and stay as they are; an empty table gives an empty
-    result; repeated rows are scanned each; other columns are not read.
+    result; repeated rows are scanned each; other columns are not read, or with carry stand
+    before the new ones, all but text.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
+    lead = [x for x in docs.columns if x != "text"] if carry else ["doc_id"]
+    docs = docs.select(*lead, "text")
     pairs = np.zeros(1 << 14, np.int64)
     for x in docs.select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[x["pair"]] = x["n"]
@@ -217,5 +218,6 @@ def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3) -> DataFrame:
         p = 10 ** (-x["bin"] / 10)
         if p <= rate * above / total:
             cut = p
-    shape = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean string, n_clean long"
-    return docs.mapInArrow(_found(logs, least, cut), shape)
+    kinds = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in lead)
+    shape = f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean string, n_clean long"
+    return docs.mapInArrow(_found(logs, least, cut, lead), shape)

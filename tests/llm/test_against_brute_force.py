@@ -384,3 +384,14 @@ def test_keys_in_runs_that_mix_alphabets(spark):
     got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
     assert sum(k not in got[i]["clean"] for i, k in enumerate(keys)) >= 28
     assert not any(got[100 + i]["spans"] for i in range(30))
+
+
+def test_redaction_of_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, "my password=hunter22 a", "en", "s", 22), (None, "token: abcdef99 b", None, "s", 17), (7, "secret=qwerty11 c", "en", "t", 17), (7, "no such thing", "de", "t", 13), (7, "api_key=zxcvbn22 d", "en", None, 18), (8, None, "en", "t", None), (7, "no such thing", "de", "t", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.redact_secrets(spark, docs, SF)
+    want = ["my <SECRET> a", "<SECRET> b", "<SECRET> c", "no such thing", "<SECRET> d", None, "no such thing"]
+    assert got.schema == docs.schema
+    assert Counter(map(tuple, got.collect())) == Counter((d, w, la, s, None if w is None else len(w)) for (d, _, la, s, _), w in zip(rows, want, strict=True))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder
 
-#: Queues at most; with more sources than that, sources share queues by hash.
-QUEUES = 1024
+#: Cells (windows by queues) of the boundaries that are held at once.
+CELLS = 1 << 19
 
 
 def _tokenise(path: str, end: int, kind: str):
@@ -78,6 +78,7 @@ def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width:
     sizes_, weights_ = np.array(sizes, np.int64), np.array(weights, float)
     total = int(sizes_.sum())
     dtype = np.dtype("<u2" if width == 2 else "<u4")
+    most = max(1, min(512, CELLS // len(queues)))
 
     def window_of(queue: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The window of each queue's token: the last whose count before it is not over ``at``."""
@@ -94,10 +95,32 @@ def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width:
             guess = guess - low + high
         return guess
 
+    def pieces(rows: pa.RecordBatch, doc: np.ndarray, window: np.ndarray, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """What each window holds of each document: doc and window go in pairs."""
+        met, where = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
+        table = drawn(met, sizes_, weights_, room)
+        low, high = table[where[: len(doc)]], table[where[len(doc) :]]
+        mine = np.arange(len(doc)), queue[doc]
+        begin = np.maximum(at[doc], low[mine])
+        stop = np.minimum((at + n)[doc], high[mine])
+        taken = high - low
+        offset = (np.cumsum(taken, axis=1) - taken)[mine] + begin - low[mine]
+        keep = np.flatnonzero(stop > begin)
+        doc, window, begin, stop, offset = (x[keep] for x in (doc, window, begin, stop, offset))
+        crc = np.empty(len(doc), np.int64)
+        for d in np.unique(doc):
+            ids = np.frombuffer(rows["ids"][int(d)].as_py(), dtype).astype("<u4")
+            for i in np.flatnonzero(doc == d):
+                crc[i] = zlib.crc32(ids[begin[i] - at[d] : stop[i] - at[d]])
+        return pa.RecordBatch.from_arrays(
+            [rows["doc_id"].take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(stop - begin), pa.array(crc), pa.array(n[doc]), pa.array(window), pa.array(offset)],
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, most):
+                rows = batch.slice(start, most)
                 queue = np.array([names[x] for x in rows["queue"].to_pylist()], np.int64)
                 at, n = rows["at"].to_numpy(), rows["n"].to_numpy()
                 first, last = window_of(queue, at), window_of(queue, at + n - 1)
@@ -105,46 +128,28 @@ def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width:
                     some = np.arange(a, min(a + 16, len(n)))
                     doc = np.repeat(some, (last - first + 1)[some])
                     step = np.arange(len(doc)) - np.repeat(np.cumsum((last - first + 1)[some]) - (last - first + 1)[some], (last - first + 1)[some])
-                    window = first[doc] + step
-                    met, where = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
-                    table = drawn(met, sizes_, weights_, room)
-                    low, high = table[where[: len(doc)]], table[where[len(doc) :]]
-                    mine = np.arange(len(doc)), queue[doc]
-                    begin = np.maximum(at[doc], low[mine])
-                    stop = np.minimum((at + n)[doc], high[mine])
-                    taken = high - low
-                    offset = (np.cumsum(taken, axis=1) - taken)[mine] + begin - low[mine]
-                    keep = np.flatnonzero(stop > begin)
-                    doc, window, begin, stop, offset = (x[keep] for x in (doc, window, begin, stop, offset))
-                    crc = np.empty(len(doc), np.int64)
-                    for d in some:
-                        ids = np.frombuffer(rows["ids"][int(d)].as_py(), dtype).astype("<u4")
-                        for i in np.flatnonzero(doc == d):
-                            crc[i] = zlib.crc32(ids[begin[i] - at[d] : stop[i] - at[d]])
-                    yield pa.RecordBatch.from_arrays(
-                        [rows["doc_id"].take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(stop - begin), pa.array(crc), pa.array(n[doc]), pa.array(window), pa.array(offset)],
-                        ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                    )
+                    per = max(1, CELLS // len(queues))
+                    for at_pair in range(0, len(doc), per):
+                        part = slice(at_pair, at_pair + per)
+                        yield pieces(rows, doc[part], (first[doc] + step)[part], queue, at, n)
 
     return run
 
 
-def pack(docs: DataFrame, path: str, end: int = 1, room: int = 2048, weights: dict[str | None, float] | None = None, queues: int = QUEUES) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 1, room: int = 2048, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Packs all documents' ids, each document followed by ``end``, into windows of ``room`` ids.
 
     weights gives the sources' target shares (by default their shares of all tokens, which
     empties all queues together; a source it does not name gets its own share of tokens).
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    Only the last window is short. Null and empty texts hold ``end`` alone; a null source is
+    Every source is a queue of its own, however many there are; memory doesn't grow with
+    their number, but the time for a window does. Only the last window is short. Null and empty texts hold ``end`` alone; a null source is
     a queue of its own; repeated rows are packed as often as they occur; an empty table
     gives no row; columns other than doc_id, text and source are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("queue"))
-    if docs.select("queue").distinct().limit(queues + 1).count() > queues:
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(queues)).cast("string"))
-        weights = None
     run, shape = _tokenise(path, end, kind)
     ids = written(docs.mapInArrow(run, shape), "ids")
     shares = written(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")), "shares")

@@ -395,3 +395,21 @@ def test_redaction_of_null_and_shared_ids(spark):
     want = ["my <SECRET> a", "<SECRET> b", "<SECRET> c", "no such thing", "<SECRET> d", None, "no such thing"]
     assert got.schema == docs.schema
     assert Counter(map(tuple, got.collect())) == Counter((d, w, la, s, None if w is None else len(w)) for (d, _, la, s, _), w in zip(rows, want, strict=True))
+
+
+def test_packing_keeps_weights_of_very_many_sources(spark):
+    """More sources than 1024: each is still a queue, and a named weight holds in every full window."""
+    rows = [(i, f"word {i} of a short text", f"s{i}") for i in range(1100)] + [(5000 + i, "many more words of one source " * 60, "big") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, queries.tokenizer_path(queries.PACK_FILE), weights={"big": 0.1}).collect()
+    held, full = Counter(), Counter()
+    for x in got:
+        full[x["sequence_id"]] += x["length"]
+        held[x["sequence_id"]] += x["length"] if x["doc_id"] >= 5000 else 0
+    encode = encoder_of(queries.PACK_FILE)
+    assert sum(full.values()) == sum(len(encode(t)) + 1 for _, t, _ in rows)
+    small = {s: len(encode(t)) + 1 for _, t, s in rows if s != "big"}
+    big = sum(full.values()) - sum(small.values())
+    share = {s: n / (big + sum(small.values())) for s, n in small.items()}
+    want = 2048 * 0.1 / (0.1 + sum(share.values()))
+    assert abs(held[0] - want) <= 0.05 * want + 2

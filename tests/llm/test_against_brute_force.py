@@ -413,3 +413,25 @@ def test_packing_keeps_weights_of_very_many_sources(spark):
     share = {s: n / (big + sum(small.values())) for s, n in small.items()}
     want = 2048 * 0.1 / (0.1 + sum(share.values()))
     assert abs(held[0] - want) <= 0.05 * want + 2
+
+
+def test_main_part_is_told_by_elements():
+    story = "the story goes on and on " * 5
+    got = lambda x: pages.marked_text(x)
+    want = story.strip()
+    assert got(f"<body><!-- <article > --><div>{story}</div></body>") == want
+    assert got(f"<body><script>var x = '<main>';</script><div>{story}</div></body>") == want
+    assert got(f"<body><main></main><div>{story}</div></body>") == want
+    assert got(f"<body><div>{story}</div><article class='card'>teaser</article></body>") == f"{want} teaser"
+    assert got(f"<main class='has-sidebar'>{story}</main><p>else</p>") == want
+    assert got(f"<div class='sidebar-layout'><div class='sidebar'>menu</div><main class='promo'>{story}</main></div>") == want
+    assert got(f"<div class='content no-sidebar'>{story}</div>") == want
+    assert got(f"<div class='sidebar-layout'>{story}</div>") == want
+    assert got("<main></main>") == got(None) == ""
+
+
+def test_runs_repeated_inside_main_parts_are_cut(spark):
+    menu = " ".join(f"m{i}" for i in range(20))
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{menu}</p><p>{i}th own text of page {'z' * i}</p></main>") for i in range(1, 5)]
+    got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {i: x["text"] for i, x in got.items()} == {i: f"{i}th own text of page {'z' * i}" for i in range(1, 5)}

@@ -435,3 +435,18 @@ def test_runs_repeated_inside_main_parts_are_cut(spark):
     rows = [(i, f"http://h.example/{i}", f"<main><p>{menu}</p><p>{i}th own text of page {'z' * i}</p></main>") for i in range(1, 5)]
     got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert {i: x["text"] for i, x in got.items()} == {i: f"{i}th own text of page {'z' * i}" for i in range(1, 5)}
+
+
+def test_copies_and_quotes_on_a_host_stay(spark):
+    """Copies of a page, equal or nearly, don't cover each other; what one other page quotes stays, what all pages repeat goes."""
+    story = " ".join(f"s{i}" for i in range(200))
+    menu = " ".join(f"m{i}" for i in range(20))
+    quote = " ".join(f"q{i}" for i in range(14))
+    own = {i: " ".join(f"p{i}w{j}" for j in range(60)) for i in range(30)}
+    body = {i: f"{own[i]} {quote}" if i in (3, 4) else own[i] for i in own}
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{menu}</p><p>{t}</p></main>") for i, t in body.items()]
+    rows += [(100 + i, f"http://h.example/story?from={i}", f"<main><p>{menu}</p><p>{story}{' print' if i == 2 else ''}</p></main>") for i in range(8)]
+    rows += [(200 + i, f"http://lone.example/story?from={i}", f"<main><p>{story}</p></main>") for i in range(3)]
+    got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    want = dict(body) | {100 + i: story + (" print" if i == 2 else "") for i in range(8)} | {200 + i: story for i in range(3)}
+    assert {i: x["text"] for i, x in got.items()} == want

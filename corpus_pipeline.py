@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("minhash", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack)]
 
-#: Trained models, hashing and tokenisation have no SQL form; tests hold run() against a brute-force version.
+#: Trained models, hashing and tokenisation have no SQL form; of the stages, tests hold redact_secrets alone against written-out results.
 ORACLE_SQL = None
 
 

@@ -52,13 +52,44 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list:
+    """df's columns, whatever signs their names hold."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in df.columns]
+
+
+#: Rows of one key from which a join deals them out, where they are also a thousandth of all rows; and into how many parts.
+HOT, SALTS = 50_000, 64
+
+
+def join_counted(left: DataFrame, right: DataFrame, by: list[str], count: str, spread: list[str]) -> DataFrame:
+    """Inner join to right, a written table with one row per key and the number of its rows in left, so that no key meets in one task.
+
+    Keys with more rows than HOT and a thousandth of all, at most a thousand of them, are
+    broadcast to mark their rows, which are dealt out by ``spread``; right's rows for them
+    are repeated for each part. right's column ``count`` is left out.
+    """
+    limit = max(HOT, (right.agg(F.sum(count)).first()[0] or 0) // 1000)
+    salt, hot = unused(left, "salt"), unused(left, "hot")
+    marked = right.where(F.col(count) > limit).select(*by, F.lit(True).alias(hot))
+    left = left.join(F.broadcast(marked), by, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")).drop(hot)
+    parts = F.when(F.col(count) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(right.withColumn(salt, F.explode(parts)).drop(count), [*by, salt]).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v): one row (node, component) per node.
 

@@ -36,6 +36,11 @@ def decibel(x: Column) -> Column:
     return F.when(x > 0, 10 * F.log10(x))
 
 
+def linear(x: Column) -> Column:
+    """The power ratio of x decibels."""
+    return F.pow(F.lit(10.0), x / 10)
+
+
 def snap(x: Column, interval: float) -> Column:
     """The next multiple of interval: upwards, not to the nearest."""
     return F.ceil(x / interval) * interval

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, written
+from .common import columns as columns_of
+from .common import components, drop, unused, written
 
 SKETCH = 64
 #: Bits of a set's odd sketch, the parity of its shingles by hash; sets differ in at least as many shingles as their sketches do in bits.
@@ -33,7 +34,8 @@ _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
 _C = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_CHUNK = 400_000
+#: Members of a bucket that are compared with each other in one part.
+SPLIT = 512
 
 
 class _Hashes(dict):
@@ -81,12 +83,16 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, width, dtype=np.int32), pa.array(values))
 
 
+def _names(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit hashes of each set; with its size they name it."""
+    return np.add.reduceat(flat, starts), np.bitwise_xor.reduceat(_mix(flat + np.uint64(0x9E3779B97F4A7C15)), starts)
+
+
 def _signatures(sets: list[np.ndarray], r: int, m: int) -> tuple[np.ndarray, ...]:
-    """Two order-free 64-bit hashes of each set, its m * m keys and its SKETCH low bytes as longs."""
+    """The two hashes that name each set, its m * m keys and its SKETCH low bytes as longs."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    h1 = np.add.reduceat(flat, starts)
-    h2 = np.bitwise_xor.reduceat(_mix(flat + np.uint64(0x9E3779B97F4A7C15)), starts)
+    h1, h2 = _names(flat, starts)
     x = (flat >> np.uint64(32)).astype(np.uint32)
     low = np.stack([np.minimum.reduceat(x * a + b, starts) for a, b in zip(_A, _B, strict=True)], axis=1)
     small = np.zeros((len(sets), 2 * m), np.uint64)
@@ -109,38 +115,50 @@ def _scan(k: int, r: int, m: int):
                 at += part.num_rows
                 sets = shingle_sets(part["text"].to_pylist(), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                ids = part["doc_id"]
+                ids, text = part["doc_id"], part["t"]
                 n = np.array([len(s) for s in sets], np.int64)
                 for a in range(0, len(full), 64):
                     rows = full[a : a + 64]
                     h1, h2, keys, sketch = _signatures([sets[i] for i in rows], r, m)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(rows)), pa.array(n[rows]), pa.array(h1), pa.array(h2), _lists(keys.ravel(), m * m), _lists(sketch.ravel(), SKETCH // 8)],
-                        ["doc_id", "n", "h1", "h2", "keys", "sketch"],
+                        [ids.take(pa.array(rows)), text.take(pa.array(rows)), pa.array(n[rows]), pa.array(h1), pa.array(h2), _lists(keys.ravel(), m * m), _lists(sketch.ravel(), SKETCH // 8)],
+                        ["doc_id", "t", "n", "h1", "h2", "keys", "sketch"],
                     )
                 none = np.flatnonzero(n == 0)
                 if len(none):
                     void = pa.nulls(len(none), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(none)), pa.array(n[none]), void, void, pa.nulls(len(none), pa.list_(pa.int64())), pa.nulls(len(none), pa.list_(pa.int64()))],
-                        ["doc_id", "n", "h1", "h2", "keys", "sketch"],
+                        [ids.take(pa.array(none)), text.take(pa.array(none)), pa.array(n[none]), void, void, pa.nulls(len(none), pa.list_(pa.int64())), pa.nulls(len(none), pa.list_(pa.int64()))],
+                        ["doc_id", "t", "n", "h1", "h2", "keys", "sketch"],
                     )
 
     return run
 
 
 def _set_rows(k: int):
+    """The sets of the classes asked for, from rows with their doc_ids: rows of another text under that doc_id are left out, repeated ones told once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: tuple = (None, set())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = shingle_sets(part["text"].to_pylist(), k)
+                sets, rows = shingle_sets(part["text"].to_pylist(), k), []
+                for i, (doc, node, h1, h2) in enumerate(zip(*(part[x].to_pylist() for x in ("doc_id", "node", "h1", "h2")), strict=True)):
+                    if doc != told[0]:
+                        told = (doc, set())
+                    if len(sets[i]) and node not in told[1]:
+                        a, b = _names(sets[i], np.zeros(1, np.int64))
+                        if (a.view(np.int64)[0], b.view(np.int64)[0]) == (h1, h2):
+                            told[1].add(node)
+                            rows.append(i)
+                sets = [sets[i] for i in rows]
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)])
                 odd = [np.packbits((np.bincount((s % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))), _lists(np.concatenate([*odd, np.empty(0, np.int64)]), ODD // 64)],
-                    ["doc_id", "words", "odd"],
+                    [part["node"].take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))), _lists(np.concatenate([*odd, np.empty(0, np.int64)]), ODD // 64)],
+                    ["node", "words", "odd"],
                 )
 
     return run
@@ -151,43 +169,35 @@ def _differ(a: str, b: str, longs: int = SKETCH // 8) -> Column:
     return reduce(Column.__add__, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2, m: int = 7) -> DataFrame:
-    """Groups documents whose distinct k-word shingle sets have Jaccard similarity >= per_cent / 100.
-
-    Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id
-    reachable over links, its own included), kept (doc_id = component_id), links of its class.
-    Only doc_id and text are read, so other columns may have any name. Null, empty and
-    wordless texts have n_shingles 0 and link with nothing. A null doc_id links with
-    nothing: component_id null, kept true. Repeated rows share one component; all rows of
-    the smallest doc_id are kept. An empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame, k: int, per_cent: int, r: int, m: int) -> DataFrame:
+    """Per row of docs: doc_id, t (a hash of its text), n, and its group c and component_id, null where it links with nothing by rule."""
     s = per_cent / 100
     # 5.5 standard deviations over the bits that a pair just at the threshold has different
     bits = int(SKETCH * (1 - s) * 4 + 5.5 * (SKETCH * (1 - s) * (s * 16 + 2)) ** 0.5)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    shape = f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>, sketch array<long>"
-    signed = written(docs.mapInArrow(_scan(k, r, m), shape), "signed")
+    shape = f"doc_id {kind}, t long, n long, h1 long, h2 long, keys array<long>, sketch array<long>"
+    signed = written(docs.withColumn("t", F.xxhash64("text")).mapInArrow(_scan(k, r, m), shape), "signed")
     live = signed.where("n > 0 and doc_id is not null")
-    classes = written(
-        live.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")),
-        "classes",
-    )
-    spread = classes.select("rep", "n", F.explode("keys").alias("key"))
-    heads = spread.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head")
+    classes = live.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    # numbers given once and written: a doc_id that comes with several texts is in several classes
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    spread = classes.select("node", "n", F.explode("keys").alias("key"))
+    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head")
     members = written(spread.join(heads, "key"), "members")
-    lone = classes.select("rep", "n", "sketch")
+    lone = classes.select("node", "n", "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return written(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows(k), f"doc_id {kind}, words array<long>, odd array<long>"), "sets")
+        wanted = classes.join(wanted, "node").select(F.col("doc").alias("doc_id"), "node", "h1", "h2")
+        return written(docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_set_rows(k), "node long, words array<long>, odd array<long>"), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of pairs (u, v), those whose full sets are similar enough."""
         pairs, given = written(pairs, "pairs"), sets is not None
         if not given:
-            sets = sets_of(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
-        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("words").alias("a")), "u").join(
-            sets.select(F.col("doc_id").alias("v"), F.col("words").alias("b")), "v"
+            sets = sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(
+            sets.select(F.col("node").alias("v"), F.col("words").alias("b")), "v"
         )
         both = both.select("u", "v", (F.size("a") + F.size("b")).cast("long").alias("total"), F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
         links = written(both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * per_cent).select("u", "v").distinct(), "links")
@@ -198,56 +208,101 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2,
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (u, v), those that lengths and sketches allow."""
-        pairs = pairs.join(lone.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
-        pairs = pairs.join(lone.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
+        pairs = pairs.join(lone.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
+        pairs = pairs.join(lone.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
         near = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * per_cent
         return pairs.where(near & (_differ("su", "sv") <= bits)).select("u", "v")
 
-    stars = confirmed(likely(members.where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()))
+    stars = confirmed(likely(members.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()))
     first = written(components(stars), "first")
-    labelled = members.join(first.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    labelled = labelled.select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    labelled = members.join(first.select("node", F.col("component").alias("c")), "node", "left")
+    labelled = labelled.select("key", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     mixed = written(labelled.join(mixed, "key", "left_semi"), "mixed")
-    sets = sets_of(mixed.select(F.col("rep").alias("doc_id")).distinct())
+    sets = sets_of(mixed.select("node").distinct())
     # Shingles that no other document of an open bucket has can't be common to any pair still in question.
-    own = sets.select("doc_id", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.min("doc_id").alias("rep"))
-    own = own.where("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    open_ = mixed.join(lone.select("rep", "sketch"), "rep").join(own, "rep", "left").join(sets.select(F.col("doc_id").alias("rep"), "odd"), "rep")
+    own = sets.select("node", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.min("node").alias("node"))
+    own = own.where("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    open_ = mixed.join(lone.select("node", "sketch"), "node").join(own, "node", "left").join(sets.select("node", "odd"), "node")
     open_ = open_.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * per_cent)
-    open_ = written(open_.select("key", "rep", "n", "c", "sketch", "odd", "most"), "open")
-    columns = ("rep", "n", "c", "sketch", "odd", "most")
+    open_ = written(open_.select("key", "node", "n", "c", "sketch", "odd", "most"), "open")
+    columns = ("node", "n", "c", "sketch", "odd", "most")
     most = F.least("most1", "most2")
     near = (most * 100 >= (F.col("n1") + F.col("n2") - most) * per_cent) & (_differ("sketch1", "sketch2") <= bits)
     near = near & (_differ("odd1", "odd2", ODD // 64) * (100 + per_cent) <= (F.col("n1") + F.col("n2")) * (100 - per_cent))
 
-    def sides(x: DataFrame, i: int) -> DataFrame:
-        return x.select("key", *(F.col(c).alias(f"{c}{i}") for c in columns))
+    def sides(x: DataFrame, i: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
+        return x.select(*by, *(F.col(c).alias(f"{c}{i}") for c in columns))
 
     # a second star, about the member of each bucket with the fewest shingles of its own: mostly what the others were edited from
-    core = open_.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(F.col("n") - F.col("most"), "rep")).alias("core"))
+    core = open_.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(F.col("n") - F.col("most"), "node")).alias("core"))
     again = sides(open_, 1).join(sides(core.select("key", "core.*"), 2), "key").where(F.col("c1") != F.col("c2")).where(near)
-    second = confirmed(again.select(F.least("rep1", "rep2").alias("u"), F.greatest("rep1", "rep2").alias("v")).distinct(), sets)
+    second = confirmed(again.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct(), sets)
     merged = written(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)), "merged")
-    open_ = open_.drop("c").join(merged.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed_keys = open_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = written(open_.join(mixed_keys, "key", "left_semi").select("key", *columns), "rest")
-    across = sides(rest, 1).join(sides(rest, 2), "key").where((F.col("rep1") < F.col("rep2")) & (F.col("c1") != F.col("c2"))).where(near)
-    more = confirmed(across.select(F.col("rep1").alias("u"), F.col("rep2").alias("v")).distinct(), sets)
-    links = stars.unionByName(second).unionByName(more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    open_now = open_.drop("c").join(merged.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed_keys = open_now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / SPLIT).alias("parts")).where("low <> high")
+    rest = written(open_now.join(mixed_keys.select("key", "parts"), "key").select("key", "parts", *columns), "rest")
+    # a large bucket is cut into parts, and every two parts meet on their own, in tasks of their own
+    part = F.pmod(F.xxhash64("node"), "parts")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    left = rest.withColumn("p", part).withColumn("q", F.explode(every))
+    right = rest.withColumn("q", part).withColumn("p", F.explode(every))
+    across = sides(left, 1, ("key", "p", "q")).join(sides(right, 2, ("key", "p", "q")), ["key", "p", "q"])
+    across = across.where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2"))).where(near)
+    more = confirmed(across.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct(), sets)
     joined = written(components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "joined")
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("class_links"))
-    named = classes.select("h1", "h2", "n", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("h1", "h2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c"), "class_links")
-    s = signed.select("doc_id", "n", "h1", "h2")
-    out = s.join(named, (s.h1 == named.h1) & (s.h2 == named.h2) & (s.n == named.m) & s.doc_id.isNotNull(), "left")
-    component = F.coalesce("c", "doc_id")
-    for x in (members, mixed, sets, rest):
+    for x in (members, mixed, sets, open_, rest, first, merged, stars, second, more):
         drop(x)
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("class_links", F.lit(0)).alias("class_links"),
-    )
+    named = classes.select("h1", "h2", "n", "node", "doc").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = named.groupBy("c").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "c").select("h1", "h2", F.col("n").alias("size"), "c", "component_id")
+    x = signed.select("doc_id", "t", "n", "h1", "h2")
+    out = x.join(named, (x.h1 == named.h1) & (x.h2 == named.h2) & (x.n == named["size"]) & x.doc_id.isNotNull(), "left")
+    return out.select("doc_id", "t", "n", "c", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2, m: int = 7) -> DataFrame:
+    """Groups documents whose distinct k-word shingle sets have Jaccard similarity >= per_cent / 100.
+
+    Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id
+    reachable over links, its own included), kept (doc_id = component_id). Only doc_id and
+    text are read, so other columns may have any name. Links are between texts: rows that
+    repeat a doc_id and its text share one component, and a doc_id that comes with another
+    text is another document that links by that text alone. Null, empty and wordless texts
+    have n_shingles 0 and link with nothing. A null doc_id links with nothing: component_id
+    null, kept true. All rows of the smallest doc_id are kept. An empty table gives an empty
+    result.
+    """
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return _labelled(docs, k, per_cent, r, m).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def clean(docs: DataFrame, k: int = 5, per_cent: int = 80, r: int = 2, m: int = 7) -> DataFrame:
+    """docs with one row for each group of near-duplicates: one of the smallest doc_id; all columns kept.
+
+    A row is told by its doc_id and its own text, so a doc_id that comes with another text
+    loses that text only if it is a copy. Of rows that repeat a kept doc_id and its words one
+    stays. Rows with a null doc_id or without words are in no group and stay.
+    """
+    told = written(_labelled(docs, k, per_cent, r, m).where("component_id is not null").groupBy("doc_id", "t", "c", "component_id").agg(F.count("*").alias("rows")), "told")
+    first = told.where("doc_id = component_id").groupBy("doc_id", "c").agg(F.min("t").alias("t1"), F.count("*").alias("texts"), F.max("rows").alias("rows"))
+    odd = written(first.where("texts > 1 or rows > 1"), "odd")
+    t, d, u = (unused(docs, x) for x in ("text_hash", "bad_doc", "bad_text"))
+    keyed = docs.withColumn(t, F.xxhash64("text"))
+    bad = told.where("doc_id <> component_id").select("doc_id", "t")
+    several = odd.first() is not None
+    if several:
+        bad = bad.unionByName(told.where("doc_id = component_id").join(odd.select("doc_id", "c", "t1"), ["doc_id", "c"]).where("t <> t1").select("doc_id", "t"))
+    bad = bad.select(F.col("doc_id").alias(d), F.col("t").alias(u))
+
+    def same(x: DataFrame):
+        return (keyed["doc_id"] == x[d]) & (keyed[t] == x[u])
+
+    left = keyed.join(bad, same(bad), "left_anti")
+    if several:
+        again = odd.where("rows > 1").select(F.col("doc_id").alias(d), F.col("t1").alias(u))
+        keyed = left
+        one = keyed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", t])
+        left = keyed.join(again, same(again), "left_anti").unionByName(one)
+    return left.select(*columns_of(docs))

@@ -100,7 +100,12 @@ def _scan(tables: int, blocks: int, scale: float, probes: int, seed: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                at, units = _units(part["embedding"].to_pylist())
+                named = part["vec_id"].is_valid().to_pylist()
+                at, units = _units([x if ok else None for x, ok in zip(part["embedding"].to_pylist(), named, strict=True)])
+                rest = sorted(set(range(part.num_rows)) - set(at))
+                if rest:
+                    none = [pa.nulls(len(rest), t) for t in (pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([part["vec_id"].take(pa.array(rest)), *none], ["vec_id", "same", "unit", "keys"])
                 for dim in {len(x) for x in units}:
                     rows = [i for i, x in zip(at, units, strict=True) if len(x) == dim]
                     unit = np.array([x for x in units if len(x) == dim])
@@ -136,14 +141,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = 14, bloc
     component_id (smallest vec_id reachable), kept. Vectors of different lengths never link;
     those that are null, empty, zero or hold null or non-finite values link with nothing.
     Vectors of equal direction form one class and are compared once; a class's links count
-    for each of its vectors. Repeated rows count as vectors of their own; a null vec_id is
-    never linked. Misses a pair just at 0.95 with a probability below 0.01.
+    for each of its vectors. Repeated rows count as vectors of their own; a vec_id that
+    repeats with other vectors is one node, linked as any of them is; a null vec_id is
+    never linked; an empty table gives an empty result. Misses a pair just at 0.95 with a probability below 0.01.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     vectors = vectors.select("vec_id", "embedding")
     shape = f"vec_id {kind}, same binary, unit array<double>, keys array<long>"
-    hashed = written(vectors.where("vec_id is not null").mapInArrow(_scan(tables, blocks, scale, probes, seed), shape), "hashed")
-    classes = hashed.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("keys").alias("keys"))
+    hashed = written(vectors.mapInArrow(_scan(tables, blocks, scale, probes, seed), shape), "hashed")
+    classes = hashed.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("keys").alias("keys"))
     classes = written(classes, "classes")
     probe = classes.select(F.col("rep").alias("x"), F.explode("keys").alias("key"))
     own = F.expr(f"filter(keys, (k, i) -> i % {1 + probes} = 0)")
@@ -158,7 +164,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = 14, bloc
     count = ends.join(classes.select(F.col("rep").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").join(count, F.col("rep") == F.col("u"), "left")
     named = named.select("same", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rows = hashed.select("vec_id", "same").join(named, "same").select("vec_id", "n_links", "component_id")
-    lost = vectors.select("vec_id").join(hashed.select("vec_id").distinct(), "vec_id", "left_anti")
-    rows = rows.unionByName(lost.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    rows = hashed.select("vec_id", "same").join(named, "same", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return rows.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
+    )

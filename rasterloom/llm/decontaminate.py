@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns, unused
+
 #: Windows that are broadcast at most (some 200 bytes each); beyond, the join shuffles.
 BROADCAST = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,8 +84,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without its contaminated rows, all columns kept."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, size)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    """docs without its contaminated rows, all columns kept.
+
+    A row is told by its doc_id and two hashes of its text, so null and shared doc_ids are
+    judged by each row's own text; rows that repeat go or stay together. Null and empty texts,
+    and all rows where the benchmark has no words, stay; columns may have any name.
+    """
+    a, b, key = (unused(docs, x) for x in ("row_a", "row_b", "row_key"))
+    keyed = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit(size), "text", "doc_id")})
+    row = F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("doc_id").alias("d"))
+    bad = contamination(keyed.select(row.alias("doc_id"), "text"), benchmark, size).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias(key)).distinct()
+    same = (keyed[a] == bad[key]["a"]) & (keyed[b] == bad[key]["b"]) & keyed["doc_id"].eqNullSafe(bad[key]["d"])
+    return keyed.join(bad, same, "left_anti").select(*columns(docs))

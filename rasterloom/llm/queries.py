@@ -42,7 +42,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).drop("clean", "n_clean")
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("clean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +69,11 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": f"""
             WITH d AS (SELECT doc_id, {_W} AS w FROM documents),
             b AS (SELECT item_id, {_W} AS w FROM benchmark),
-            g AS (SELECT item_id, unnest(list_transform(range(0, greatest(len(w) - 10, 0) + 1), i -> w[i + 1 : i + 10])) AS g FROM b WHERE len(w) > 0),
+            g AS (SELECT item_id, unnest(list_transform(range(0, greatest(len(w) - 10, 0) + 1), lambda i: w[i + 1 : i + 10])) AS g FROM b WHERE len(w) > 0),
             sizes AS (SELECT DISTINCT len(g) AS n FROM g),
-            p AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS at, w FROM d, sizes WHERE len(w) >= n),
-            h AS (SELECT DISTINCT p.doc_id, p.at, p.n, g.item_id FROM p JOIN g ON g.g = p.w[p.at + 1 : p.at + p.n]),
-            c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS x FROM h) GROUP BY 1),
+            p AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS b, w FROM d, sizes WHERE len(w) >= n),
+            h AS (SELECT DISTINCT p.doc_id, p.b, p.n, g.item_id FROM p JOIN g ON g.g = p.w[p.b + 1 : p.b + p.n]),
+            c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + n)) AS x FROM h) GROUP BY 1),
             i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY 1)
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                    CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,

@@ -8,8 +8,10 @@ A file holds one run of documents in ascending doc_id order::
     doc_ids   Elias-Fano code of doc_id minus the first, null doc_ids left out
     ids       the concatenated ids, little-endian, u16 or u32
 
-The i-th end is found by select on the code's upper bits: a directory of every 512th one
-bit and a scan of at most a few words, so no table of 64-bit offsets is kept.
+A code has three parts: low bits, upper bits in unary, and a directory with the place of
+every 512th one bit of the upper bits (u32). The i-th value is found by select: from the
+directory's entry over at most a few words. Nothing is decoded or built when a file is
+opened, and there is no table of 64-bit offsets.
 """
 
 from __future__ import annotations
@@ -36,48 +38,60 @@ MAGIC, SAMPLE, FILE_IDS = b"EFTOKEN1", 512, 1 << 22
 class EliasFano:
     """A non-decreasing sequence of n values below ``bound`` in about n * (2 + log2(bound / n)) bits."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[::SAMPLE] if n else np.empty(0, np.int64)
-        self.samples = ones
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, directory: bytes):
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, np.empty(0, np.uint8), np.empty(0, np.uint8))
+            return cls(0, 0, b"", b"", b"")
         bits = max(0, math.floor(math.log2(max(1, (int(values[-1]) + 1) / n))))
         tail = values & np.uint64((1 << bits) - 1)
         spread = ((tail[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        upper = np.zeros(int(ones[-1]) + 1, np.uint8)
+        upper = np.zeros(-(-(int(ones[-1]) + 1) // 64) * 64, np.uint8)
         upper[ones] = 1
-        return cls(n, bits, np.packbits(spread.ravel(), bitorder="little"), np.packbits(upper, bitorder="little"))
+        low, high = (np.packbits(x, bitorder="little").tobytes() for x in (spread.ravel(), upper))
+        return cls(n, bits, low, high, ones[::SAMPLE].astype("<u4").tobytes())
+
+    def parts(self) -> tuple[bytes, bytes, bytes]:
+        return self.low, self.high, self.directory
 
     def all(self) -> np.ndarray:
         """All values, by one scan of the upper bits."""
         if not self.n:
             return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
         tail = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else 0
         return ((ones - np.arange(self.n)) << self.low_bits) + tail
 
+    def _word(self, i: int) -> int:
+        return int.from_bytes(self.high[8 * i : 8 * i + 8], "little")
+
     def select(self, i: int) -> int:
-        """The i-th value alone: from the nearest sampled one bit, on by whole bytes."""
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        word = int(self.high[byte]) >> (at % 8) << (at % 8)
+        """The i-th value alone: from the directory's one bit on by whole words, then by halves of the word."""
+        d = i // SAMPLE * 4
+        at, left = int.from_bytes(self.directory[d : d + 4], "little"), i % SAMPLE
+        index = at >> 6
+        word = self._word(index) >> (at & 63) << (at & 63)
         while (ones := word.bit_count()) <= left:
             left -= ones
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        place = byte * 8 + (word & -word).bit_length() - 1
+            index += 1
+            word = self._word(index)
+        place = index << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            below = word & ((1 << half) - 1)
+            if (ones := below.bit_count()) <= left:
+                left -= ones
+                word >>= half
+                place += half
+            else:
+                word = below
         first = i * self.low_bits
-        raw = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8 + 1].tobytes(), "little")
+        raw = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8 + 1], "little")
         return ((place - i) << self.low_bits) | ((raw >> (first % 8)) & ((1 << self.low_bits) - 1))
 
 
@@ -85,16 +99,15 @@ def dump(doc_ids: list[int | None], ids: list[np.ndarray], dtype: np.dtype) -> b
     """The bytes of one file; doc_ids ascend, nulls first."""
     nulls = sum(x is None for x in doc_ids)
     known = doc_ids[nulls:]
-    ends = EliasFano.of(np.cumsum([len(x) for x in ids]) if ids else np.empty(0))
-    names = EliasFano.of(np.array([x - known[0] for x in known], np.uint64))
-    head = {"docs": len(ids), "nulls": nulls, "first": known[0] if known else 0, "width": dtype.itemsize, "ends": [ends.n, ends.low_bits, len(ends.low), len(ends.high)], "names": [names.n, names.low_bits, len(names.low), len(names.high)]}
-    told = json.dumps(head).encode()
-    parts = [MAGIC, struct.pack("<I", len(told)), told, ends.low.tobytes(), ends.high.tobytes(), names.low.tobytes(), names.high.tobytes()]
+    codes = {"ends": EliasFano.of(np.cumsum([len(x) for x in ids]) if ids else np.empty(0)), "names": EliasFano.of(np.array([x - known[0] for x in known], np.uint64))}
+    head = {"docs": len(ids), "nulls": nulls, "first": known[0] if known else 0, "width": dtype.itemsize}
+    told = json.dumps(head | {k: [x.n, x.low_bits, *map(len, x.parts())] for k, x in codes.items()}).encode()
+    parts = [MAGIC, struct.pack("<I", len(told)), told, *(y for x in codes.values() for y in x.parts())]
     return b"".join([*parts, *(np.asarray(x, dtype).tobytes() for x in ids)])
 
 
 class TokenFile:
-    """One file, read: ``len``, ``doc_ids``, ``ends`` (EliasFano) and ``ids(i)``."""
+    """One file, opened: ``len``, ``doc_ids``, ``bounds(i)`` and ``ids(i)``; bounds come from select alone."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
@@ -102,19 +115,28 @@ class TokenFile:
         (size,) = struct.unpack_from("<I", data, 8)
         head = json.loads(data[12 : 12 + size])
         at, codes = 12 + size, []
-        for n, bits, low, high in (head["ends"], head["names"]):
-            codes.append(EliasFano(n, bits, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low)))
-            at += low + high
-        self.ends, names = codes
-        self.doc_ids = [None] * head["nulls"] + [x + head["first"] for x in names.all().tolist()]
+        for n, bits, *lengths in (head["ends"], head["names"]):
+            parts = []
+            for length in lengths:
+                parts.append(data[at : at + length])
+                at += length
+            codes.append(EliasFano(n, bits, *parts))
+        self.ends, self.names = codes
+        self.nulls, self.first, self.docs = head["nulls"], head["first"], head["docs"]
         dtype = np.dtype(f"<u{head['width']}")
         self.flat = np.frombuffer(data, dtype, (len(data) - at) // dtype.itemsize, at)
 
     def __len__(self) -> int:
-        return len(self.doc_ids)
+        return self.docs
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.names.select(i - self.nulls) + self.first
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.flat[slice(*self.bounds(i))]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -123,6 +145,19 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def _put(store: fs.FileSystem, temp: str, path: str) -> None:
+    """Gives a finished file its name; one that another attempt of the task has put there holds the same bytes and stays."""
+    there = lambda: store.get_file_info(path).type != fs.FileType.NotFound
+    if not there():
+        try:
+            store.move(temp, path)
+            return
+        except OSError:
+            if not there():
+                raise
+    store.delete_file(temp)
+
+
 def _write(path: str, end: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, context = encoder(path), TaskContext.get()
@@ -136,7 +171,7 @@ def _write(path: str, end: int, folder: str):
             temp = f"{root}/.{name}.{context.taskAttemptId()}"
             with store.open_output_stream(temp) as f:
                 f.write(dump(doc_ids, ids, enc.dtype))
-            store.move(temp, f"{root}/{name}")  # another attempt's file holds the same bytes
+            _put(store, temp, f"{root}/{name}")
             out = pa.RecordBatch.from_pydict({"part": [part], "nth": [count], "file": [name], "docs": [len(ids)], "n": [size]}, pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]))
             doc_ids, ids, size, count = [], [], 0, count + 1
             return out
@@ -163,15 +198,12 @@ def _read(folder: str):
             for name, base in zip(batch["file"].to_pylist(), batch["base"].to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
                     tokens = TokenFile(f.read())
-                ends = tokens.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                for a in range(0, len(ends), 2048):
-                    some = slice(a, a + 2048)
-                    crc = [zlib.crc32(tokens.flat[x:y].astype("<u4")) for x, y in zip(starts[some], ends[some], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tokens.doc_ids[some], pa.int64()), pa.array(starts[some] + base), pa.array((ends - starts)[some]), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                for a in range(0, len(tokens), 2048):
+                    rows = []
+                    for i in range(a, min(a + 2048, len(tokens))):
+                        x, y = tokens.bounds(i)
+                        rows.append((tokens.doc_id(i), x + base, y - x, zlib.crc32(tokens.flat[x:y].astype("<u4"))))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 

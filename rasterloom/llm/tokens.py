@@ -2,7 +2,8 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts (before a space
 that a non-space follows; at white space where the tokenizer drops it), so the ids are
-those of encoding it whole. Words already met come from a cache; new ones go to the
+those of encoding it whole. A text that holds the string of a special token goes to the
+library whole, which gives that token's id as its plain call does. Words already met come from a cache; new ones go to the
 tokenizers library, plain words straight to its model.
 """
 
@@ -28,14 +29,13 @@ _LIMIT = 500_000
 
 
 class Encoder:
-    """Encodes lists of texts to arrays of ids; special tokens' strings count as ordinary text."""
+    """Encodes lists of texts to the arrays of ids that the library's plain call gives."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -47,6 +47,8 @@ class Encoder:
             self.kind = "spaced"
         elif norm and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "[^\\\\s\\\\p{L}\\\\p{N}]+" in pattern:
             self.kind = "lower"
+        self.special = [x["content"] for x in told.get("added_tokens") or []]
+        self.lower = any(x.get("normalized") for x in told.get("added_tokens") or [])
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -87,10 +89,16 @@ class Encoder:
                 out.append(x)
         return out
 
+    def _holds_special(self, text: str) -> bool:
+        if any(x in text for x in self.special):
+            return True
+        return self.lower and any(x.lower() in text.lower() for x in self.special)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.kind:
             return [np.frombuffer(self._ids(x or ""), self.dtype) for x in texts]
-        cut = [self._cut(x) if x else [] for x in texts]
+        whole = {i: self._ids(x) for i, x in enumerate(texts) if x and self._holds_special(x)}
+        cut = [self._cut(x) if x and i not in whole else [] for i, x in enumerate(texts)]
         if len(self.chunks) >= _LIMIT:
             self.chunks.clear()
         new: set[str] = set()
@@ -100,7 +108,7 @@ class Encoder:
         for x in new:
             if x not in known:
                 known[x] = self._chunk(x)
-        return [np.frombuffer(b"".join([known[x] for x in chunks]), self.dtype) for chunks in cut]
+        return [np.frombuffer(whole[i] if i in whole else b"".join([known[x] for x in chunks]), self.dtype) for i, chunks in enumerate(cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

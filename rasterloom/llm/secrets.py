@@ -133,6 +133,15 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _open(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[int, int, str, str]]:
+    """The candidates that no span of the fixed kinds touches: those that the battery decides on."""
+    found = candidates(text)
+    if not found:
+        return found
+    base = base_spans(text) if base is None else base
+    return [x for x in found if not any(b < x[1] and x[0] < e for _, b, e in base)]
+
+
 def natural_p(token: str, letters: str, logs: np.ndarray) -> float:
     """A bound on how likely natural text is to look as random: exp(-log likelihood ratio), at most 1."""
     x = np.frombuffer(token.encode(), np.uint8).astype(np.int64)
@@ -151,60 +160,78 @@ def _tested(logs: np.ndarray, least: float):
         for batch in batches:
             p = []
             for text in batch["text"]:
-                for _, _, token, letters in candidates(text.as_py() or ""):
+                for _, _, token, letters in _open(text.as_py() or ""):
                     p.append(-math.log10(max(1e-300, natural_p(token, letters, logs))) if battery(token, letters) >= least else 0.0)
             yield pa.RecordBatch.from_arrays([pa.array((np.array(p) * 10).astype(np.int64))], ["bin"])
 
     return run
 
 
-def _found(logs: np.ndarray, least: float, cut: float, lead: list[str]):
-    names = [*lead, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean", "n_clean"]
+class _Finder:
+    """All spans of a text, and the text without them."""
+
+    def __init__(self, logs: np.ndarray, least: float, cut: float):
+        self.logs, self.least, self.cut = logs, least, cut
+
+    def __call__(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+        base = base_spans(text)
+        random = [(b, e) for b, e, token, letters in _open(text, base) if battery(token, letters) >= self.least and natural_p(token, letters, self.logs) <= self.cut]
+        spans = base + [("random", b, e) for b, e in random if not any(x <= b and e <= y and (x, y) != (b, e) for x, y in random)]
+        return base, sorted(spans, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
+
+
+def without(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with <SECRET> for each span; overlapping spans as one."""
+    out, done = [], 0
+    for _, b, e in spans:
+        if e > done:
+            out += [text[done : max(b, done)], "<SECRET>" if b >= done else ""]
+            done = e
+    return "".join(out) + text[done:]
+
+
+def _told(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{b}:{e}" for k, b, e in spans)
 
+
+def _found(logs: np.ndarray, least: float, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Finder(logs, least, cut)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[tuple] = []
                 for raw in part["text"]:
                     text = raw.as_py()
-                    base = base_spans(text or "")
-                    spans, random = list(base), []
-                    for start, end, token, letters in candidates(text or ""):
-                        if any(b < end and start < e for _, b, e in base):
-                            continue
-                        if battery(token, letters) >= least and natural_p(token, letters, logs) <= cut:
-                            random.append((start, end))
-                    spans += [("random", b, e) for b, e in random if not any(x <= b and e <= y and (x, y) != (b, e) for x, y in random)]
-                    spans.sort(key=lambda x: (x[1], _ORDER[x[0]], x[2]))
-                    clean, done = [], 0
-                    for _, b, e in spans:
-                        if e > done:
-                            clean += [(text or "")[done : max(b, done)], "<SECRET>" if b >= done else ""]
-                            done = e
-                    clean = "".join(clean) + (text or "")[done:] if spans else text
-                    told = ",".join(f"{k}:{b}:{e}" for k, b, e in base)
+                    base, spans = find(text or "")
                     counts = [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
-                    rows.append((*counts, hashlib.sha256(told.encode()).hexdigest(), ",".join(f"{k}:{b}:{e}" for k, b, e in spans), clean, None if clean is None else len(clean)))
-                kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([*(part[x] for x in lead), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+                    rows.append((*counts, hashlib.sha256(_told(base).encode()).hexdigest(), _told(spans), without(text, spans) if spans else text))
+                kinds = [pa.int64()] * 3 + [pa.string()] * 3
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean"])
 
     return run
 
 
-def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3, carry: bool = False) -> DataFrame:
-    """Finds secrets in every text.
+def _redacted(logs: np.ndarray, least: float, cut: float, text: int, length: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Finder(logs, least, cut)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts, new = part[text].to_pylist(), list(part.columns)
+                spans = [find(x)[1] if x else [] for x in texts]
+                texts = [without(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
+                new[text] = pa.array(texts, part.schema[text].type)
+                if length is not None:
+                    n = [len(x) if s else n for x, s, n in zip(texts, spans, part[length].to_pylist(), strict=True)]
+                    new[length] = pa.array(n, part.schema[length].type)
+                yield pa.RecordBatch.from_arrays(new, schema=part.schema)
 
-    rate is the share of false discoveries allowed among the tokens that the battery adds,
-    least the p-value below which a token counts as not random. Returns one row per row of
-    docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end), clean (the
-    text with <SECRET> for each span, overlapping spans as one) and n_clean, its length.
-    Null and empty texts have no span and stay as they are; an empty table gives an empty
-    result; repeated rows are scanned each; other columns are not read, or with carry stand
-    before the new ones, all but text.
-    """
-    lead = [x for x in docs.columns if x != "text"] if carry else ["doc_id"]
-    docs = docs.select(*lead, "text")
+    return run
+
+
+def _fitted(docs: DataFrame, rate: float, least: float) -> tuple[np.ndarray, float]:
+    """The model of natural text and the cut of the false-discovery control, over all texts."""
     pairs = np.zeros(1 << 14, np.int64)
     for x in docs.select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[x["pair"]] = x["n"]
@@ -218,6 +245,32 @@ def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3, carry: bool =
         p = 10 ** (-x["bin"] / 10)
         if p <= rate * above / total:
             cut = p
-    kinds = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in lead)
-    shape = f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean string, n_clean long"
-    return docs.mapInArrow(_found(logs, least, cut, lead), shape)
+    return logs, cut
+
+
+def scan(docs: DataFrame, rate: float = 0.01, least: float = 1e-3) -> DataFrame:
+    """Finds secrets in every text.
+
+    rate is the share of false discoveries allowed among the tokens that the battery adds,
+    least the p-value below which a token counts as not random. Returns one row per row of
+    docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end) and clean (the
+    text with <SECRET> for each span, overlapping spans as one). Null and empty texts have no
+    span and stay as they are; an empty table gives an empty result; repeated rows are
+    scanned each; other columns are not read.
+    """
+    docs = docs.select("doc_id", "text")
+    logs, cut = _fitted(docs, rate, least)
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean string"
+    return docs.mapInArrow(_found(logs, least, cut), shape)
+
+
+def redact(docs: DataFrame, rate: float = 0.01, least: float = 1e-3) -> DataFrame:
+    """docs with <SECRET> for every secret in its texts, row by row whatever the doc_id.
+
+    An integer column n_chars follows a changed text; all else, and rows without a secret,
+    null and empty texts among them, stay as they are. Columns may have any name.
+    """
+    logs, cut = _fitted(docs, rate, least)
+    names = docs.columns
+    length = names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("bigint", "int") else None
+    return docs.mapInArrow(_redacted(logs, least, cut, names.index("text"), length), docs.schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, minhash, packing, secrets, toxicity
 from rasterloom.llm.common import table, written
@@ -11,38 +10,41 @@ from rasterloom.llm.queries import PACK_FILE, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity is scored 0.5 or more; null texts stay."""
-    bad = toxicity.score(docs, table(spark, sf_dir, "labels"), text=True).where("predicted = 1")
-    bad = bad.select(F.xxhash64("doc_id", "text").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+    """Drops rows whose text is scored 0.5 or more for toxicity, each by its own text whatever its doc_id.
+
+    Null and empty texts, and all rows where there are no labels of both kinds, stay.
+    """
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near-duplicates (five words, 0.8)."""
-    copies = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group of near-duplicates (five words, 0.8): that of the smallest doc_id.
+
+    Of rows that repeat a kept doc_id and its text one stays; a doc_id that comes again with
+    another text is another document. Null, empty and wordless texts are in no group and
+    stay, as do rows with a null doc_id.
+    """
+    return minhash.clean(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of ten words of a benchmark item."""
+    """Drops rows whose text holds a window of ten words of a benchmark item, or a whole shorter item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts <SECRET> for every secret found, row by row whatever its doc_id; n_chars follows the text, other rows stay as they are."""
-    found = secrets.scan(docs, carry=True)
-    n_chars = F.when(F.col("spans") != "", F.col("n_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumn("n_chars", n_chars).withColumnRenamed("clean", "text").select(*docs.columns)
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows of 2048 tokens, every source in its share."""
+    """Packs what is left into windows of 2048 tokens, every source in its share; null and empty texts are their end token."""
     return packing.pack(docs, tokenizer_path(PACK_FILE))
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack)]
 
-#: Trained models, hashing and tokenisation have no SQL form; of the stages, tests hold redact_secrets alone against written-out results.
+#: Trained models, hashing and tokenisation have no SQL form; tests/llm/test_pipeline.py holds run() and its stages against plain versions.
 ORACLE_SQL = None
 
 

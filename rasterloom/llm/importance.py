@@ -2,7 +2,9 @@
 
 Two bag-of-n-gram models over ``buckets`` hash buckets, one of the target texts and one of
 all texts, give each document a log importance weight; Gumbel noise added to it turns the
-largest k keys into a sample without replacement in proportion to the weights.
+largest k keys into a sample without replacement in proportion to the weights. The log
+weight is the log of the ratio of the two models' probabilities for the document, that is
+the sum over its n-grams.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .common import written
 from .minhash import _HASHES, _mix
 
 BUCKETS = 1 << 14
+#: Target documents that the target model is fitted on at most, first by a hash of doc_id; their ids alone are broadcast.
+TARGETS = 20_000
 
 
 def features(text: str | None, buckets: int) -> np.ndarray:
@@ -44,12 +48,12 @@ def _count(buckets: int):
     return run
 
 
-def _score(ratio: np.ndarray, length: int):
+def _score(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py(), len(ratio)) for x in batch["text"]]
             n = pa.array([len(x) for x in got], pa.int64())
-            weight = pa.array([float(ratio[x].mean()) * length if len(x) else 0.0 for x in got], pa.float64())
+            weight = pa.array([float(ratio[x].sum()) for x in got], pa.float64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], n, weight], ["doc_id", "n_features", "log_weight"])
 
     return run
@@ -77,29 +81,32 @@ def _largest(keys: DataFrame, k: int, few: int = 20_000) -> float:
             return rest[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buckets: int = BUCKETS, length: int = 100, seed: int = 3) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buckets: int = BUCKETS, targets: int = TARGETS, seed: int = 3) -> DataFrame:
     """Draws documents whose n-grams resemble those of the documents labelled quality 1.
 
     share is the part of the documents to keep, by default the part of the labels that are 1.
-    A weight is the mean log ratio over a document's n-grams, times ``length``, so that long
-    texts don't win by length. Both models count all documents. Returns one row per row of
-    docs: doc_id, n_features, log_weight, key, kept. Null, empty and wordless texts have
+    The raw model counts all documents; the target model at most ``targets`` labelled ones,
+    some thousand n-grams for each bucket, so that their ids can be broadcast at any size and
+    no text is shuffled. Returns one row per row of docs: doc_id, n_features, log_weight (the
+    sum of the log ratios of its n-grams), key, kept. Null, empty and wordless texts have
     weight 0 and are drawn by noise alone; equal keys at the cut are all kept; labels that
     are null or of no document are ignored; without any label nothing is known and all
-    weights are 0; an empty table gives an empty result. Other columns are not read.
+    weights are 0; rows that repeat a doc_id count and are drawn each, with equal noise; an
+    empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     rows, good = labels.where("quality is not null").agg(F.count("*"), F.sum(F.col("quality").cast("double"))).first()
     share = share if share is not None else ((good or 0) / rows if rows else 1.0)
-    wanted = labels.where("quality = 1").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    counts = docs.join(wanted, "doc_id", "left").select("text", "wanted").mapInArrow(_count(buckets), "bucket long, raw long, target long")
+    wanted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(targets).withColumn("wanted", F.lit(True))
+    # no more than ``targets`` ids
+    counts = docs.join(F.broadcast(wanted), "doc_id", "left").select("text", "wanted").mapInArrow(_count(buckets), "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for x in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[x["bucket"]], target[x["bucket"]] = x["raw"], x["target"]
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    scored = docs.mapInArrow(_score(ratio if target.any() else np.zeros(buckets), length), f"doc_id {kind}, n_features long, log_weight double")
+    scored = docs.mapInArrow(_score(ratio if target.any() else np.zeros(buckets)), f"doc_id {kind}, n_features long, log_weight double")
     bits = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
     noise = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
     scored = written(scored.withColumn("key", F.col("log_weight") + noise), "scored")

@@ -4,42 +4,45 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .pixelwise import pair
+from .stencils import with_halo
 
 
-def _window(raster: DataFrame, lines: int, pixels: int) -> DataFrame:
-    """Groups whole windows only: partial ones at the far edges are dropped."""
-    size = raster.agg(F.max("line").alias("l"), F.max("pixel").alias("p")).select(
-        (F.floor((F.col("l") + 1) / lines)).alias("l"), (F.floor((F.col("p") + 1) / pixels)).alias("p")
-    )
-    at = raster.withColumns({"line": F.floor(F.col("line") / lines), "pixel": F.floor(F.col("pixel") / pixels)})
-    return at.join(F.broadcast(size), (F.col("line") < F.col("l")) & (F.col("pixel") < F.col("p"))).groupBy("line", "pixel")
+Shape = tuple[int, int] | None
+
 
+def _window(raster: DataFrame, lines: int, pixels: int, shape: Shape = None) -> GroupedData:
+    """Groups whole windows only: partial ones at the far edges are dropped. shape (lines, pixels) spares a pass over the raster."""
+    if shape is None:
+        found = raster.agg(F.max("line"), F.max("pixel")).first()
+        shape = (found[0] or 0) + 1, (found[1] or 0) + 1
+    inside = (F.col("line") < shape[0] // lines * lines) & (F.col("pixel") < shape[1] // pixels * pixels)
+    return raster.where(inside).withColumns({"line": F.floor(F.col("line") / lines), "pixel": F.floor(F.col("pixel") / pixels)}).groupBy("line", "pixel")
 
-def multilook(raster: DataFrame, lines: int, pixels: int) -> DataFrame:
-    return _window(raster, lines, pixels).agg(F.sum("value").alias("total"), F.avg("value").alias("mean"))
 
+def multilook(raster: DataFrame, lines: int, pixels: int, shape: Shape = None) -> DataFrame:
+    return _window(raster, lines, pixels, shape).agg(F.sum("value").alias("total"), F.avg("value").alias("mean"))
 
-def multilook_weighted(raster: DataFrame, lines: int, pixels: int) -> DataFrame:
+
+def multilook_weighted(raster: DataFrame, lines: int, pixels: int, shape: Shape = None) -> DataFrame:
     """Sum(w x) / sum(w); a window of no weight is NaN."""
     total = F.sum("weight")
     out = F.when(total == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.sum(F.col("weight") * F.col("value")), total))
-    return _window(raster, lines, pixels).agg(out.alias("mean"), total.alias("weight"))
+    return _window(raster, lines, pixels, shape).agg(out.alias("mean"), total.alias("weight"))
 
 
-def multilook_power(image: DataFrame, lines: int, pixels: int) -> DataFrame:
-    return _window(image, lines, pixels).agg(F.avg(S.power(F.col("re"), F.col("im"))).alias("power"))
+def multilook_power(image: DataFrame, lines: int, pixels: int, shape: Shape = None) -> DataFrame:
+    return _window(image, lines, pixels, shape).agg(F.avg(S.power(F.col("re"), F.col("im"))).alias("power"))
 
 
-def multilook_interferogram(reference: DataFrame, secondary: DataFrame, lines: int, pixels: int) -> DataFrame:
-    """Looked-down interferogram, its phase and coherence, in one pass over the pair."""
+def multilook_interferogram(both: DataFrame, lines: int, pixels: int, shape: Shape = None) -> DataFrame:
+    """Looked-down interferogram of co-registered samples (re, im, re2, im2), its phase and coherence, in one pass."""
     re, im = S.times_conjugate(F.col("re"), F.col("im"), F.col("re2"), F.col("im2"))
     p1, p2 = S.power(F.col("re"), F.col("im")), S.power(F.col("re2"), F.col("im2"))
-    out = _window(pair(reference, secondary), lines, pixels).agg(
+    out = _window(both, lines, pixels, shape).agg(
         F.avg(re).alias("re"), F.avg(im).alias("im"), F.avg(p1).alias("p1"), F.avg(p2).alias("p2")
     )
     coherence = F.try_divide(F.hypot("re", "im"), F.sqrt(F.col("p1") * F.col("p2")))
@@ -77,8 +80,8 @@ def mask_percentages(mask: DataFrame) -> DataFrame:
 
 def doppler_by_correlation(image: DataFrame, prf: float, lag: int = 1) -> DataFrame:
     """Doppler centroid per pixel column from the mean of z[n + lag] conj(z[n]), with its correlation."""
-    w = Window.partitionBy("pixel").orderBy("line")
-    before = image.withColumns({"re2": F.lag("re", lag).over(w), "im2": F.lag("im", lag).over(w)}).where("re2 is not null")
+    x, w, own = with_halo(image, lag, 0)
+    before = x.withColumns({"re2": F.lag("re", lag).over(w), "im2": F.lag("im", lag).over(w)}).where(own & F.col("re2").isNotNull())
     re, im = S.times_conjugate(F.col("re"), F.col("im"), F.col("re2"), F.col("im2"))
     p = F.sqrt(F.avg(S.power(F.col("re"), F.col("im"))) * F.avg(S.power(F.col("re2"), F.col("im2"))))
     out = before.groupBy("pixel").agg(F.avg(re).alias("x"), F.avg(im).alias("y"), p.alias("p"))
@@ -87,17 +90,30 @@ def doppler_by_correlation(image: DataFrame, prf: float, lag: int = 1) -> DataFr
 
 def noise_power(image: DataFrame, block: int) -> DataFrame:
     """Per block of pixels: mean power of differences of neighbouring lines, halved."""
-    w = Window.partitionBy("pixel").orderBy("line")
-    gap = image.withColumns({"dr": F.col("re") - F.lag("re").over(w), "di": F.col("im") - F.lag("im").over(w)}).where("dr is not null")
+    x, w, own = with_halo(image, 1, 0)
+    gap = x.withColumns({"dr": F.col("re") - F.lag("re").over(w), "di": F.col("im") - F.lag("im").over(w)}).where(own & F.col("dr").isNotNull())
     return gap.groupBy(F.floor(F.col("pixel") / block).alias("block")).agg((F.avg(S.power(F.col("dr"), F.col("di"))) / 2).alias("noise"))
 
 
-def trimmed(values: DataFrame, fraction: float) -> DataFrame:
-    """Mean and population deviation per group after cutting half the fraction at either end."""
-    w = Window.partitionBy("group")
-    ranked = values.withColumns({"i": F.row_number().over(w.orderBy("value")), "n": F.count("*").over(w)})
+def trimmed(values: DataFrame, fraction: float, bins: int = 1024) -> DataFrame:
+    """Mean and population deviation per group after cutting half the fraction at either end.
+
+    Counts in even bins tell in which bin either cut falls; only the rows of those two are
+    put in order, all others count or don't by their bin.
+    """
+    ends = values.groupBy("group").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    binned = values.join(ends, "group")
+    bin_ = F.coalesce(F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0))
+    binned = binned.select("group", "value", "n", bin_.alias("bin"))
+    upto = Window.partitionBy("group").orderBy("bin")
+    counts = binned.groupBy("group", "bin").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = binned.join(counts, ["group", "bin"])
     cut = F.rint(F.col("n") * (0.5 * fraction))
-    kept = ranked.where((F.col("i") > cut) & (F.col("i") <= F.col("n") - cut))
+    whole = (F.col("before") >= cut) & (F.col("before") + F.col("k") <= F.col("n") - cut)
+    none = (F.col("before") + F.col("k") <= cut) | (F.col("before") >= F.col("n") - cut)
+    i = F.col("before") + F.row_number().over(Window.partitionBy("group", "bin").orderBy("value"))
+    edge = x.where(~whole & ~none).withColumn("i", i).where((F.col("i") > cut) & (F.col("i") <= F.col("n") - cut))
+    kept = x.where(whole).select("group", "value").unionByName(edge.select("group", "value"))
     return kept.groupBy("group").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
 
 

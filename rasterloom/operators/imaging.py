@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from .stencils import along, down
+from .stencils import along, with_halo
 
 
 def sigma_weighted(raster: DataFrame, half: int) -> DataFrame:
@@ -25,15 +25,17 @@ def sigma_weighted(raster: DataFrame, half: int) -> DataFrame:
 def local_mean_fill(raster: DataFrame, half: int) -> DataFrame:
     """NaN and null samples become the mean of the valid ones in the square around them, clipped at the edges."""
     v = F.when(~F.isnan("value"), F.col("value"))
-    a, d = along().rowsBetween(-half, half), down().rowsBetween(-half, half)
-    x = raster.withColumns({"s": F.sum(v).over(a), "n": F.count(v).over(a), "v": v})
-    x = x.withColumns({"s": F.sum("s").over(d), "n": F.sum("n").over(d)})
+    a = along().rowsBetween(-half, half)
+    x, over, own = with_halo(raster.withColumns({"s": F.sum(v).over(a), "n": F.count(v).over(a), "v": v}), half, half)
+    d = over.rowsBetween(-half, half)
+    x = x.withColumns({"s": F.sum("s").over(d), "n": F.sum("n").over(d)}).where(own)
     return x.select("line", "pixel", F.coalesce("v", F.try_divide("s", "n")).alias("value"))
 
 
 def narrowband_hits(power: DataFrame, half: int, cut: float) -> DataFrame:
     """Samples per pixel whose moving mean over lines lies more than ``cut`` deviations above that pixel's."""
-    x = power.withColumn("m", F.avg("value").over(down().rowsBetween(-half, half)))
+    x, over, own = with_halo(power, half, half)
+    x = x.withColumn("m", F.avg("value").over(over.rowsBetween(-half, half))).where(own)
     stats = x.groupBy("pixel").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("dev"))
     z = F.try_divide(F.col("m") - F.col("mean"), F.col("dev"))
     return x.join(stats, "pixel").groupBy("pixel").agg(F.count_if(z > cut).alias("hits"), F.max(z).alias("highest"))
@@ -92,36 +94,6 @@ def nearest(probes: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     return x.select(by, "probe", F.when(late, F.col("v1")).otherwise(F.col("v0")).alias("value"))
 
 
-def shifted(lines: DataFrame, shift: float) -> DataFrame:
-    """Each line (line, values) moved by ``shift`` samples, circularly, by a phase ramp over its spectrum."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for values in pdf["values"]:
-                x = np.asarray(values, float)
-                f = np.fft.fftfreq(max(1, len(x)))
-                ramp = np.where(np.abs(f) == 0.5, np.cos(np.pi * shift), np.exp(-2j * np.pi * f * shift))
-                out.append(np.fft.ifft(np.fft.fft(x) * ramp).real if len(x) else x)
-            yield pd.DataFrame({"line": pdf["line"], "values": out})
-
-    return lines.mapInPandas(run, "line long, values array<double>")
-
-
-def upsampled(lines: DataFrame, factor: int) -> DataFrame:
-    """Each line with ``factor`` times the samples, by zeros put into the middle of its spectrum."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for values in pdf["values"]:
-                x = np.asarray(values, float)
-                out.append(np.fft.irfft(np.fft.rfft(x) * np.where((np.arange(len(x) // 2 + 1) * 2 == len(x)) & (factor > 1), 0.5, 1.0), len(x) * factor) * factor if len(x) else x)
-            yield pd.DataFrame({"line": pdf["line"], "values": out})
-
-    return lines.mapInPandas(run, "line long, values array<double>")
-
-
 def eigen_interference(image: DataFrame, lines: int, cut: float) -> DataFrame:
     """Slow-time interference: eigenvalues of each block's covariance over ``lines`` pulses, and the power without those above ``cut`` times the median.
 

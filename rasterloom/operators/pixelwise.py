@@ -17,6 +17,15 @@ def pair(reference: DataFrame, secondary: DataFrame) -> DataFrame:
     return reference.join(secondary.withColumnsRenamed({"re": "re2", "im": "im2"}), KEY)
 
 
+def pair_lines(reference: DataFrame, secondary: DataFrame) -> DataFrame:
+    """Co-registered samples of images kept as lines (line, values: real and imaginary parts in turn): lines meet, one row each, before they are taken apart."""
+    both = reference.join(secondary.withColumnRenamed("values", "values2"), "line")
+    n = F.floor(F.least(F.size("values"), F.size("values2")) / 2).cast("int")
+    x = both.select("line", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("pixel"), "values", "values2")
+    part = lambda c, k: F.get(c, F.col("pixel") * 2 + k).cast("double")
+    return x.select("line", F.col("pixel").cast("long").alias("pixel"), part("values", 0).alias("re"), part("values", 1).alias("im"), part("values2", 0).alias("re2"), part("values2", 1).alias("im2"))
+
+
 def interferogram(reference: DataFrame, secondary: DataFrame) -> DataFrame:
     re, im = S.times_conjugate(F.col("re"), F.col("im"), F.col("re2"), F.col("im2"))
     return pair(reference, secondary).select(*KEY, re.alias("re"), im.alias("im"))
@@ -62,7 +71,9 @@ def add_water(mask: DataFrame, water: DataFrame) -> DataFrame:
 
 
 def decode(samples: DataFrame, table: DataFrame) -> DataFrame:
-    """Codes (r, i) to values by a lookup table (code, level), which is small: its codes are 16 bits wide."""
+    """Codes (r, i) to values by a lookup table (code, level) of at most 2**16 codes, or an error; so it can be broadcast."""
+    if table.limit((1 << 16) + 1).count() > 1 << 16:
+        raise ValueError("a code has 16 bits: the table has too many rows")
     r, i = (F.broadcast(table.select(F.col("code").alias(c), F.col("level").alias(v))) for c, v in (("r", "re"), ("i", "im")))
     return samples.join(r, "r").join(i, "i").select(*KEY, "re", "im")
 

@@ -12,8 +12,17 @@ def along() -> WindowSpec:
     return Window.partitionBy("line").orderBy("pixel")
 
 
-def down() -> WindowSpec:
-    return Window.partitionBy("pixel").orderBy("line")
+#: Lines of a block; a column of an image is handled in blocks, each with the lines about it that a stencil reaches.
+LINES = 4096
+
+
+def with_halo(raster: DataFrame, before: int, after: int, lines: int = LINES) -> tuple[DataFrame, WindowSpec, Column]:
+    """The raster with a block number for down-column stencils: lines next to a block are in it too.
+
+    Returns the table, the window down a block's column, and whether a row is the block's own.
+    """
+    block = F.explode(F.sequence(F.floor((F.col("line") - after) / lines), F.floor((F.col("line") + before) / lines)))
+    return raster.withColumn("block", block), Window.partitionBy("block", "pixel").orderBy("line"), F.floor(F.col("line") / lines) == F.col("block")
 
 
 def convolve(raster: DataFrame, kernel: list[float], over: WindowSpec) -> DataFrame:
@@ -27,29 +36,37 @@ def convolve(raster: DataFrame, kernel: list[float], over: WindowSpec) -> DataFr
 
 
 def filter2d(raster: DataFrame, rows: list[float], columns: list[float]) -> DataFrame:
-    return convolve(convolve(raster, columns, along()), rows, down())
+    half = len(rows) // 2
+    x, over, own = with_halo(convolve(raster, columns, along()), half, half)
+    return convolve(x, rows, over).where(own).drop("block")
 
 
 def gradient(image: DataFrame) -> DataFrame:
     """Wrapped phase step to the next pixel and to the next line."""
     step = lambda w: F.atan2(F.sin(F.lead("phase").over(w) - F.col("phase")), F.cos(F.lead("phase").over(w) - F.col("phase")))
-    return image.select("line", "pixel", step(along()).alias("across"), step(down()).alias("along"))
+    x, over, own = with_halo(image.withColumn("across", step(along())), 0, 1)
+    return x.select("line", "pixel", "across", step(over).alias("along"), own.alias("own")).where("own").drop("own")
 
 
 def residues(image: DataFrame) -> DataFrame:
     """The sum of whole turns around each loop of 2 x 2 phases: -1, 0 or 1."""
     turn: Column = F.lit(0.0)
-    corner = image.withColumns({"b": F.lead("phase").over(along()), "d": F.lead("phase").over(down())})
-    corner = corner.withColumn("c", F.lead("b").over(down())).withColumnRenamed("phase", "a").where("c is not null and d is not null")
+    x, over, own = with_halo(image.withColumn("b", F.lead("phase").over(along())), 0, 1)
+    corner = x.withColumns({"d": F.lead("phase").over(over), "c": F.lead("b").over(over)}).where(own)
+    corner = corner.withColumnRenamed("phase", "a").where("c is not null and d is not null")
     for p, q in (("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")):
         turn = turn + F.round((F.col(p) - F.col(q)) / (2 * math.pi))
     return corner.select("line", "pixel", turn.cast("int").alias("residue"))
 
 
 def summed_area(raster: DataFrame) -> DataFrame:
-    """Sums over all samples up and left of each: one running sum along lines, one down columns."""
-    to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    return raster.withColumn("value", F.sum("value").over(to(along()))).withColumn("value", F.sum("value").over(to(down())))
+    """Sums over all samples up and left of each: running sums along lines, then down each block, on top of the blocks above."""
+    to = lambda w, end=0: w.rowsBetween(Window.unboundedPreceding, end)
+    x = raster.withColumn("value", F.sum("value").over(to(along()))).withColumn("block", F.floor(F.col("line") / LINES))
+    above = x.groupBy("pixel", "block").agg(F.sum("value").alias("total"))
+    above = above.select("pixel", "block", F.coalesce(F.sum("total").over(to(Window.partitionBy("pixel").orderBy("block"), -1)), F.lit(0.0)).alias("above"))
+    x = x.withColumn("value", F.sum("value").over(to(Window.partitionBy("pixel", "block").orderBy("line"))))
+    return x.join(above, ["pixel", "block"]).select("line", "pixel", (F.col("value") + F.col("above")).alias("value"))
 
 
 def moving(raster: DataFrame, half: int) -> DataFrame:
@@ -77,14 +94,18 @@ def zero_crossings(raster: DataFrame) -> DataFrame:
 
 
 def layover_shadow(profile: DataFrame) -> DataFrame:
-    """Bits per sample of a line of sight: 1 shadow (elevation angle not over its running maximum),
-    2 layover (slant range not over its running maximum, or not under the running minimum from the far end)."""
-    past = along().rowsBetween(Window.unboundedPreceding, -1)
-    ahead = along().rowsBetween(1, Window.unboundedFollowing)
-    shadow = F.col("elevation") <= F.max("elevation").over(past)
-    layover = (F.col("slant") <= F.max("slant").over(past)) | (F.col("slant") >= F.min("slant").over(ahead))
+    """Bits per sample of a line of sight (line, pixel in the order of cross, cross, elevation, slant).
+
+    1, shadow: the elevation angle is not over the greatest one before it. 2, layover: in the
+    order of slant range, the cross-track place is not over the greatest before it, or not
+    under the least after it. The reverse pass is a running minimum in descending order.
+    """
+    past = lambda *by: Window.partitionBy("line").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    shadow = F.col("elevation") <= F.max("elevation").over(past("pixel"))
+    near = F.col("cross") <= F.max("cross").over(past("slant", "pixel"))
+    far = F.col("cross") >= F.min("cross").over(past(F.desc("slant"), F.desc("pixel")))
     bit = lambda x, n: F.when(F.coalesce(x, F.lit(False)), n).otherwise(0)
-    return profile.select("line", "pixel", (bit(shadow, 1) + bit(layover, 2)).alias("mask"))
+    return profile.select("line", "pixel", (bit(shadow, 1) + bit(near | far, 2)).alias("mask"))
 
 
 def unwrap_steps(series: DataFrame, period: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalar as S
-from ..operators import imaging
+from ..operators import imaging, kernels
 from ..sources import rasters
 from ..sources.rasters import table
 from .raster import _GEO, IMAGE, REAL, R, image, places, query, real
@@ -146,10 +146,10 @@ _PH = 4 * math.pi * 0.3 / 0.24
 
 
 @query(
-    f"WITH {IMAGE}, t AS (SELECT vec_id AS target, vec_id AS mid, CAST(vec_id % 20 AS DOUBLE) AS near FROM embeddings WHERE vec_id % 4 = 0), x AS (SELECT target, re, im, pixel, near + CAST((line - mid) * (line - mid) AS DOUBLE) / 18 AS place FROM t JOIN cx ON line BETWEEN mid - 4 AND mid + 4) SELECT target, {R(f'sum(re * cos({_PH!r} * place) - im * sin({_PH!r} * place))', 're')}, {R(f'sum(re * sin({_PH!r} * place) + im * cos({_PH!r} * place))', 'im')}, count(*) AS pulses FROM x WHERE floor(place) = pixel GROUP BY 1"
+    f"WITH {IMAGE}, t AS (SELECT vec_id AS target, vec_id AS mid, CAST(vec_id % 20 AS DOUBLE) AS near FROM embeddings), x AS (SELECT target, re, im, pixel, near + CAST((line - mid) * (line - mid) AS DOUBLE) / 18 AS place FROM t JOIN cx ON line BETWEEN mid - 4 AND mid + 4) SELECT target, {R(f'sum(re * cos({_PH!r} * place) - im * sin({_PH!r} * place))', 're')}, {R(f'sum(re * sin({_PH!r} * place) + im * cos({_PH!r} * place))', 'im')}, count(*) AS pulses FROM x WHERE floor(place) = pixel GROUP BY 1"
 )
 def back_projection(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("target"), F.col("vec_id").alias("at"), (F.col("vec_id") % 20).cast("double").alias("near"))
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("target"), F.col("vec_id").alias("at"), (F.col("vec_id") % 20).cast("double").alias("near"))
     return imaging.back_projection(image(spark, sf_dir), ids, 4, 0.24, 0.3)
 
 
@@ -227,15 +227,13 @@ def line_regions(spark, sf_dir):
     f"WITH {REAL} SELECT line, CAST(k AS INTEGER) AS bin, round(pow(sum(value * cos(2 * pi() * k * pixel / 64)), 2) + pow(sum(value * sin(2 * pi() * k * pixel / 64)), 2), 5) + 0.0 AS power FROM px, range(64) t(k) GROUP BY 1, 2", 5
 )
 def line_spectrum(spark, sf_dir):
-    from ..operators import kernels
-
     return kernels.spectrum(rasters.line_arrays(real(spark, sf_dir)))
 
 
 @query(f"WITH {REAL} SELECT line, CAST(j AS INTEGER) AS place, {R('sum(value * CASE WHEN j = pixel THEN 1.0 ELSE 0.0 END)', 'value')} FROM (SELECT line, (pixel + 3) % 64 AS pixel, value FROM px), range(64) t(j) GROUP BY 1, 2")
 def shifted_lines(spark, sf_dir):
     """By whole samples here, so that SQL can say it; tests hold parts of a sample against closed forms."""
-    x = imaging.shifted(rasters.line_arrays(real(spark, sf_dir)), 3.0)
+    x = kernels.shifted(rasters.line_arrays(real(spark, sf_dir)), 3.0)
     return x.select("line", F.posexplode("values").alias("place", "value"))
 
 
@@ -244,7 +242,19 @@ def eigen_interference(spark, sf_dir):
     return imaging.eigen_interference(image(spark, sf_dir), 16, 8.0)
 
 
-@query()
+def _newton_sql(steps: int = 12) -> str:
+    """Zero-Doppler times on a circular polar orbit by so many Newton steps, as the operator takes them."""
+    r, w = 7.1e6, 1.05e-3
+    p = f"{r!r} * cos({w!r} * t)", f"{r!r} * sin({w!r} * t)"
+    v = f"-{r * w!r} * sin({w!r} * t)", f"{r * w!r} * cos({w!r} * t)"
+    along = f"((x - {p[0]}) * {v[0]} + (z - {p[1]}) * {v[1]})"
+    inward = f"((x - {p[0]}) * {p[0]} + (z - {p[1]}) * {p[1]})"
+    parts = [f"WITH g AS (SELECT id, (id % 9 - 4) * 0.01 AS lon, lat, h FROM ({_GEO})), n AS (SELECT *, {_A} / sqrt(1 - {E2} * sin(lat) * sin(lat)) AS n FROM g), s0 AS (SELECT id, (n + h) * cos(lat) * cos(lon) AS x, (n + h) * cos(lat) * sin(lon) AS y, (n * {1 - E2!r} + h) * sin(lat) AS z, atan2((n * {1 - E2!r} + h) * sin(lat), (n + h) * cos(lat) * cos(lon)) / {w!r} + 0.3 AS t FROM n)"]
+    parts += [f"s{i + 1} AS (SELECT id, x, y, z, t + {along} / ({(r * w) ** 2!r} + {w * w!r} * {inward}) AS t FROM s{i})" for i in range(steps)]
+    return ", ".join(parts) + f" SELECT id, {R('t', 'time')}, round(sqrt(pow(x - {p[0]}, 2) + y * y + pow(z - {p[1]}, 2)), 6) + 0.0 AS slant FROM s{steps}"
+
+
+@query(_newton_sql())
 def radar_coordinates(spark, sf_dir):
-    xyz = S.to_ecef(F.col("lon") * 0 + (F.col("id") % 9 - 4) * 0.01, F.col("lat"), F.col("h"))
+    xyz = S.to_ecef((F.col("id") % 9 - 4) * 0.01, F.col("lat"), F.col("h"))
     return imaging.radar_coordinates(places(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(xyz, "xyz", strict=True))))

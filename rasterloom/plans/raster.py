@@ -33,6 +33,10 @@ def second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image(spark, sf_dir).withColumn("line", F.col("line") - 1)
 
 
+def shape(spark: SparkSession, sf_dir: str, parts: int = 1) -> tuple[int, int]:
+    return rasters.shape(table(spark, sf_dir, "embeddings"), parts=parts)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, -0 to 0: sums depend on their order in the last bits."""
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -57,7 +61,10 @@ _IFG = f"WITH {PAIR}, {WHOLE.format(l=4, p=4, t='pr')} SELECT line // 4 AS line,
 
 @query(f"SELECT line, pixel, {R('a', 're')}, {R('b', 'im')}, {R('atan2(b, a)', 'phase')}, {R('sqrt(a*a + b*b) / sqrt(p1 * p2)', 'coherence')} FROM ({_IFG})")
 def interferogram_multilook(spark, sf_dir):
-    return aggregates.multilook_interferogram(image(spark, sf_dir), second(spark, sf_dir), 4, 4)
+    lines = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line"), F.col("embedding").alias("values"))
+    height, width = shape(spark, sf_dir, 2)
+    both = pixelwise.pair_lines(lines, lines.withColumn("line", F.col("line") - 1))
+    return aggregates.multilook_interferogram(both, 4, 4, (height - 1, width))
 
 
 @query(f"WITH {PAIR} SELECT line, pixel, {R('re*re2 + im*im2', 're')}, {R('im*re2 - re*im2', 'im')} FROM pr")
@@ -95,17 +102,17 @@ def decimate(spark, sf_dir):
 
 @query(f"WITH {REAL}, {WHOLE.format(l=3, p=5, t='px')} SELECT line // 3 AS line, pixel // 5 AS pixel, {R('sum(value)', 'total')}, {R('avg(value)', 'mean')} FROM px, lim WHERE line // 3 < lim.l AND pixel // 5 < lim.p GROUP BY 1, 2")
 def multilook(spark, sf_dir):
-    return aggregates.multilook(real(spark, sf_dir), 3, 5)
+    return aggregates.multilook(real(spark, sf_dir), 3, 5, shape(spark, sf_dir))
 
 
 @query(f"WITH {REAL}, {WHOLE.format(l=3, p=5, t='px')} SELECT line // 3 AS line, pixel // 5 AS pixel, {R('sum(value * (pixel % 3)) / sum(pixel % 3)', 'mean')}, {R('CAST(sum(pixel % 3) AS DOUBLE)', 'weight')} FROM px, lim WHERE line // 3 < lim.l AND pixel // 5 < lim.p GROUP BY 1, 2")
 def multilook_weighted(spark, sf_dir):
-    return aggregates.multilook_weighted(real(spark, sf_dir).withColumn("weight", (F.col("pixel") % 3).cast("double")), 3, 5)
+    return aggregates.multilook_weighted(real(spark, sf_dir).withColumn("weight", (F.col("pixel") % 3).cast("double")), 3, 5, shape(spark, sf_dir))
 
 
 @query(f"WITH {IMAGE}, {WHOLE.format(l=2, p=8, t='cx')} SELECT line // 2 AS line, pixel // 8 AS pixel, {R('avg(re*re + im*im)', 'power')} FROM cx, lim WHERE line // 2 < lim.l AND pixel // 8 < lim.p GROUP BY 1, 2")
 def multilook_power(spark, sf_dir):
-    return aggregates.multilook_power(image(spark, sf_dir), 2, 8)
+    return aggregates.multilook_power(image(spark, sf_dir), 2, 8, shape(spark, sf_dir, 2))
 
 
 @query(f"WITH {REAL}, h AS (SELECT CASE WHEN line % 64 <> pixel THEN value END AS v FROM px) SELECT count(v) AS n, {R('min(v)', 'low')}, {R('max(v)', 'high')}, {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'deviation')} FROM h")
@@ -244,10 +251,10 @@ def zero_crossings(spark, sf_dir):
     return stencils.zero_crossings(real(spark, sf_dir)).select("line", "root")
 
 
-@query(f"WITH {REAL}, g AS (SELECT line, pixel, pixel + 3 * value AS e, pixel * 2 + 4 * value AS s FROM px) SELECT line, pixel, CASE WHEN e <= max(e) OVER p THEN 1 ELSE 0 END + CASE WHEN s <= max(s) OVER p OR s >= min(s) OVER f THEN 2 ELSE 0 END AS mask FROM g WINDOW p AS (PARTITION BY line ORDER BY pixel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY line ORDER BY pixel ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
+@query(f"WITH {REAL}, g AS (SELECT line, pixel, pixel + 3 * value AS e, pixel * 2 + 4 * value AS s FROM px) SELECT line, pixel, CASE WHEN e <= max(e) OVER p THEN 1 ELSE 0 END + CASE WHEN pixel <= max(pixel) OVER n OR pixel >= min(pixel) OVER f THEN 2 ELSE 0 END AS mask FROM g WINDOW p AS (PARTITION BY line ORDER BY pixel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY line ORDER BY s, pixel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY line ORDER BY s, pixel ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
 def layover_shadow(spark, sf_dir):
     x = real(spark, sf_dir)
-    return stencils.layover_shadow(x.select("line", "pixel", (F.col("pixel") + 3 * F.col("value")).alias("elevation"), (F.col("pixel") * 2 + 4 * F.col("value")).alias("slant")))
+    return stencils.layover_shadow(x.select("line", "pixel", F.col("pixel").alias("cross"), (F.col("pixel") + 3 * F.col("value")).alias("elevation"), (F.col("pixel") * 2 + 4 * F.col("value")).alias("slant")))
 
 
 @query(f"WITH {REAL}, j AS (SELECT line, pixel, value * 5 AS v, coalesce(round((lag(value * 5) OVER (PARTITION BY line ORDER BY pixel) - value * 5) / 2.0), 0) AS j FROM px) SELECT line, pixel, {R('v + 2.0 * sum(j) OVER (PARTITION BY line ORDER BY pixel ROWS UNBOUNDED PRECEDING)', 'value')} FROM j")
@@ -346,16 +353,24 @@ def date_time(spark, sf_dir):
     )
 
 
-@query()
+_MATCH = f"""WITH {REAL}, k AS (SELECT unnest(range(17)) AS k), c AS (SELECT line, pixel, value - avg(value) OVER (PARTITION BY line) AS a FROM px WHERE pixel BETWEEN 8 AND 55),
+b AS (SELECT line - 1 AS line, pixel, value FROM px), w AS (SELECT b.line, k, pixel - k AS q, value - avg(value) OVER (PARTITION BY b.line, k) AS b FROM b, k WHERE pixel - k BETWEEN 0 AND 47),
+s AS (SELECT line, k, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS s FROM w JOIN c USING (line) WHERE pixel - 8 = q GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY s DESC, k) AS r, lag(s) OVER (PARTITION BY line ORDER BY k) AS l, lead(s) OVER (PARTITION BY line ORDER BY k) AS n FROM s)
+SELECT line, {R('k - 8 + CASE WHEN k BETWEEN 1 AND 15 AND l - 2 * s + n <> 0 THEN 0.5 * (l - n) / (l - 2 * s + n) ELSE 0 END', 'offset')}, {R('s', 'correlation')} FROM t WHERE r = 1"""
+
+
+@query(_MATCH)
 def line_matching(spark, sf_dir):
     lines = rasters.line_arrays(real(spark, sf_dir))
     pairs = lines.select("line", F.col("values").alias("a")).join(lines.select((F.col("line") - 1).alias("line"), F.col("values").alias("b")), "line")
     return kernels.match(pairs, 8)
 
 
-@query()
+@query(f"WITH {REAL}, k AS (SELECT i, pi() * 8 * pow(i / 16.0, 2) AS g FROM range(16) r(i)) SELECT line, CAST(pixel - i AS INTEGER) AS place, {R('sum(value * cos(g))', 're')}, {R('sum(-value * sin(g))', 'im')} FROM px, k WHERE pixel - i BETWEEN 0 AND 48 GROUP BY 1, 2")
 def range_compression(spark, sf_dir):
     import numpy as np
 
     t = np.arange(16) / 16
-    return kernels.compressed(rasters.line_arrays(real(spark, sf_dir)), np.exp(1j * math.pi * 8 * t * t))
+    x = kernels.compressed(rasters.line_arrays(real(spark, sf_dir)), np.exp(1j * math.pi * 8 * t * t))
+    return x.select("line", F.posexplode(F.arrays_zip("re", "im")).alias("place", "z")).select("line", "place", "z.re", "z.im")

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shape(lines: DataFrame, line: str = "vec_id", values: str = "embedding", parts: int = 1) -> tuple[int, int]:
+    """Lines and pixels of a raster kept as lines of ``parts`` values a pixel, without taking the lines apart."""
+    found = lines.agg(F.max(line), F.max(F.size(values))).first()
+    return (found[0] if found[0] is not None else -1) + 1, (found[1] or 0) // parts
+
+
 def real_raster(lines: DataFrame, line: str = "vec_id", values: str = "embedding") -> DataFrame:
     """One row per sample of rows that hold a whole line as an array."""
     out = lines.select(F.col(line).alias("line"), F.posexplode(values).alias("pixel", "value"))

@@ -58,7 +58,7 @@ def test_partial_windows_are_dropped(spark):
 def test_same_image_has_coherence_one(spark):
     rows = [(i, j, math.cos(i * j), math.sin(i * j)) for i in range(12) for j in range(12)]
     x = spark.createDataFrame(rows, "line long, pixel long, re double, im double")
-    for r in aggregates.multilook_interferogram(x, x, 3, 3).collect():
+    for r in aggregates.multilook_interferogram(pixelwise.pair(x, x), 3, 3).collect():
         assert abs(r["phase"]) < 1e-9 and abs(r["coherence"] - 1) < 1e-9
 
 
@@ -96,9 +96,9 @@ def test_shift_by_part_of_a_sample(spark):
     n = 64
     wave = lambda s: [math.cos(2 * math.pi * 5 * (i - s) / n) for i in range(n)]
     df = spark.createDataFrame([(0, wave(0)), (1, [])], "line long, values array<double>")
-    got = {r["line"]: r["values"] for r in imaging.shifted(df, 0.25).collect()}
+    got = {r["line"]: r["values"] for r in kernels.shifted(df, 0.25).collect()}
     assert np.allclose(got[0], wave(0.25)) and got[1] == []
-    up = {r["line"]: r["values"] for r in imaging.upsampled(df, 4).collect()}
+    up = {r["line"]: r["values"] for r in kernels.upsampled(df, 4).collect()}
     assert np.allclose(up[0], [math.cos(2 * math.pi * 5 * i / (4 * n)) for i in range(4 * n)])
 
 

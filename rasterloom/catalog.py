@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import imaging, raster, samples  # noqa: F401  they add their queries to raster's
+from .plans import estimates, imaging, raster, samples  # noqa: F401  they add their queries to raster's
 
 
 def queries() -> dict:

@@ -63,6 +63,64 @@ def derivative(coefficients: list[float]) -> list[float]:
     return [i * c for i, c in enumerate(coefficients)][1:] or [0.0]
 
 
+def poly2d(x: Column, y: Column, coefficients: list[list[float]]) -> Column:
+    """Sum of c[i][j] x**i y**j by Horner's rule in both."""
+    out = horner(y, coefficients[-1])
+    for row in reversed(coefficients[:-1]):
+        out = out * x + horner(y, row)
+    return out
+
+
+def tukey(place: Column, n: int, flat: float) -> Column:
+    """Window of n samples that is 1 over a share ``flat`` of its middle and falls along a cosine."""
+    away, inner = F.abs(place - (n - 1) / 2), flat * n / 2
+    return F.when(away <= inner, 1.0).otherwise(0.5 * (1 + F.cos(math.pi * (away - inner) / (n / 2 - inner))))
+
+
+def cosine_window(place: Column, n: int, a: float) -> Column:
+    return a - (1 - a) * F.cos(2 * math.pi * place / (n - 1))
+
+
+def bartlett(x: Column, half: float) -> Column:
+    return F.greatest(1 - F.abs(x) / half, F.lit(0.0))
+
+
+def parabola(left: Column, middle: Column, right: Column) -> tuple[Column, Column]:
+    """Place (from the middle sample) and height of the peak of the parabola through three."""
+    bend = left - 2 * middle + right
+    return F.try_divide(0.5 * (left - right), bend), middle - F.try_divide(0.125 * (left - right) * (left - right), bend)
+
+
+def steps(state: Column, step, rounds: int) -> Column:
+    """A fixed number of steps on a column, as one expression that does not grow with them."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, lambda x, _: step(x))
+
+
+def newton(f, slope, start: Column, rounds: int) -> Column:
+    return steps(start.cast("double"), lambda x: x - F.coalesce(F.try_divide(f(x), slope(x)), F.lit(0.0)), rounds)
+
+
+def secant(f, a: Column, b: Column, rounds: int) -> Column:
+    def step(s: Column) -> Column:
+        fa, fb = f(s["a"]), f(s["b"])
+        move = F.coalesce(F.try_divide(fb * (s["b"] - s["a"]), fb - fa), F.lit(0.0))
+        return F.struct(s["b"].alias("a"), (s["b"] - move).alias("b"))
+
+    return steps(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")), step, rounds)["b"]
+
+
+def bisection(f, a: Column, b: Column, rounds: int) -> Column:
+    """The root between a and b, where f has different signs."""
+
+    def step(s: Column) -> Column:
+        mid = (s["a"] + s["b"]) / 2
+        left = F.signum(f(s["a"])) * F.signum(f(mid)) <= 0
+        return F.struct(F.when(left, s["a"]).otherwise(mid).alias("a"), F.when(left, mid).otherwise(s["b"]).alias("b"))
+
+    out = steps(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")), step, rounds)
+    return (out["a"] + out["b"]) / 2
+
+
 def bessel_i0(x: Column, terms: int = 30) -> Column:
     """Power series of the modified Bessel function of order 0; full precision to |x| of about 15."""
     q = x * x / 4
@@ -91,9 +149,7 @@ def to_ecef(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, C
 def to_llh(x: Column, y: Column, z: Column, rounds: int = 5) -> tuple[Column, Column, Column]:
     """Longitude, latitude, height by a fixed number of latitude corrections (below 1e-9 m after five)."""
     p = F.sqrt(x * x + y * y)
-    lat = F.atan2(z, p * (1 - E2_WGS84))
-    for _ in range(rounds):
-        lat = F.atan2(z + east_radius(lat) * E2_WGS84 * F.sin(lat), p)
+    lat = steps(F.atan2(z, p * (1 - E2_WGS84)), lambda lat: F.atan2(z + east_radius(lat) * E2_WGS84 * F.sin(lat), p), rounds)
     return F.atan2(y, x), lat, p * F.cos(lat) + z * F.sin(lat) - A_WGS84 * F.sqrt(1 - E2_WGS84 * F.sin(lat) * F.sin(lat))
 
 
@@ -111,10 +167,10 @@ def quaternion_product(p: list[Column], q: list[Column]) -> list[Column]:
 
 
 def rotated_vector(q: list[Column], v: list[Column]) -> list[Column]:
-    """v turned by the unit quaternion q."""
-    zero = F.lit(0.0)
-    inverse = [q[0], -q[1], -q[2], -q[3]]
-    return quaternion_product(quaternion_product(q, [zero, *v]), inverse)[1:]
+    """v turned by the unit quaternion q: v + 2 w (u x v) + 2 u x (u x v)."""
+    w, *u = q
+    t = [2 * (u[1] * v[2] - u[2] * v[1]), 2 * (u[2] * v[0] - u[0] * v[2]), 2 * (u[0] * v[1] - u[1] * v[0])]
+    return [v[0] + w * t[0] + u[1] * t[2] - u[2] * t[1], v[1] + w * t[1] + u[2] * t[0] - u[0] * t[2], v[2] + w * t[2] + u[0] * t[1] - u[1] * t[0]]
 
 
 def bistatic_delay(distance: Column) -> Column:

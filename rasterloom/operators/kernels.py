@@ -30,7 +30,7 @@ def on_lines(lines: DataFrame, names: list[str], kernel: Callable[..., tuple[np.
                 for column, result in zip(got, kernel(*arrays), strict=True):
                     for i, x in zip(rows.tolist(), result, strict=True):
                         column[i] = x
-            yield pd.DataFrame({key: pdf[key], **dict(zip(out, got, strict=True))})
+            yield pd.DataFrame({key: pdf[key], **{c: pd.Series(x, index=pdf.index, dtype=object) for c, x in zip(out, got, strict=True)}})
 
     return lines.select(key, *names).mapInPandas(run, f"{key} long, " + ", ".join(f"{c} array<double>" for c in out))
 
@@ -193,7 +193,7 @@ def nonuniform_spectrum(lines: DataFrame, bins: int) -> DataFrame:
     return on_lines(lines, ["place", "values"], kernel, ["re", "im"])
 
 
-def sinc_taps(fraction: np.ndarray, taps: int = 8, beta: float = 2.5) -> np.ndarray:
+def sinc_taps(fraction: np.ndarray, taps: int = 8, beta: float = 5.0) -> np.ndarray:
     """Weights of the ``taps`` samples about a place that lies ``fraction`` after the middle left one: a Kaiser-tapered sinc, summing to 1."""
     k = np.arange(taps) - (taps // 2 - 1)
     x = fraction[..., None] - k
@@ -236,7 +236,7 @@ def resampled(image: DataFrame, line_offset: Callable[[np.ndarray, np.ndarray],
         own = pdf["line"][(pdf["line"] // block) == key[0]].to_numpy()
         rows, columns = np.meshgrid(own, np.arange(n), indexing="ij")
         out = resample_tile(z, rows + line_offset(rows, columns) - first, columns + pixel_offset(rows, columns), taps)
-        return pd.DataFrame({"line": own, "re": list(out.real), "im": list(out.imag)})
+        return pd.DataFrame({"line": own, "re": pd.Series(list(out.real), dtype=object), "im": pd.Series(list(out.imag), dtype=object)})
 
     return dealt.groupBy("block").applyInPandas(run, "line long, re array<double>, im array<double>")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import estimates, flows, functions, imaging, kernels, raster, samples  # noqa: F401  they add their queries to raster's
+from .plans import channels, estimates, flows, functions, imaging, kernels, raster, samples  # noqa: F401  they add their queries to raster's
 
 
 def queries() -> dict:

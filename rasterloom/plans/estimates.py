@@ -145,7 +145,7 @@ def median_deviation(spark, sf_dir):
     return E.median_deviation(table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("group"), "value"))
 
 
-@query(f"WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM events) SELECT user_id, round(1 / avg(gap), 9) + 0.0 AS mean, round(1 / min(gap), 9) + 0.0 AS highest FROM g WHERE gap > 0 GROUP BY 1", 9)
+@query(f"WITH g AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM events) SELECT user_id, round(1 / avg(gap), 7) + 0.0 AS mean, round(1 / min(gap), 7) + 0.0 AS highest FROM g WHERE gap > 0 GROUP BY 1", 7)
 def repetition_frequency(spark, sf_dir):
     return E.repetition(table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")), "user_id")
 

@@ -251,10 +251,11 @@ def _newton_sql(steps: int = 12) -> str:
     inward = f"((x - {p[0]}) * {p[0]} + (z - {p[1]}) * {p[1]})"
     parts = [f"WITH g AS (SELECT id, (id % 9 - 4) * 0.01 AS lon, lat, h FROM ({_GEO})), n AS (SELECT *, {_A} / sqrt(1 - {E2} * sin(lat) * sin(lat)) AS n FROM g), s0 AS (SELECT id, (n + h) * cos(lat) * cos(lon) AS x, (n + h) * cos(lat) * sin(lon) AS y, (n * {1 - E2!r} + h) * sin(lat) AS z, atan2((n * {1 - E2!r} + h) * sin(lat), (n + h) * cos(lat) * cos(lon)) / {w!r} + 0.3 AS t FROM n)"]
     parts += [f"s{i + 1} AS (SELECT id, x, y, z, t + {along} / ({(r * w) ** 2!r} + {w * w!r} * {inward}) AS t FROM s{i})" for i in range(steps)]
-    return ", ".join(parts) + f" SELECT id, {R('t', 'time')}, round(sqrt(pow(x - {p[0]}, 2) + y * y + pow(z - {p[1]}, 2)), 6) + 0.0 AS slant FROM s{steps}"
+    return ", ".join(parts) + f" SELECT id, {R('t', 'time')}, round(sqrt(pow(x - {p[0]}, 2) + y * y + pow(z - {p[1]}, 2)), 3) + 0.0 AS slant FROM s{steps}"
 
 
 @query(_newton_sql())
 def radar_coordinates(spark, sf_dir):
     xyz = S.to_ecef((F.col("id") % 9 - 4) * 0.01, F.col("lat"), F.col("h"))
-    return imaging.radar_coordinates(places(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(xyz, "xyz", strict=True))))
+    x = imaging.radar_coordinates(places(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(xyz, "xyz", strict=True))))
+    return x.select("id", "time", F.round("slant", 3).alias("slant"))

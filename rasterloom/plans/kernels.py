@@ -137,7 +137,7 @@ def _targets(spark, sf_dir):
 _XYZ = f"g AS ({_TARGET}), n AS (SELECT *, 6378137.0 / sqrt(1 - 0.0066943799901 * sin(lat) ** 2) AS r FROM g), x AS (SELECT id, lon, lat, h, (r + h) * cos(lat) * cos(lon) AS x, (r + h) * cos(lat) * sin(lon) AS y, (r * (1 - 0.0066943799901) + h) * sin(lat) AS z FROM n)"
 
 
-@query(f"WITH {_XYZ}, t AS (SELECT id, x, y, z, atan2(z, x) / 0.00105 AS t FROM x) SELECT id, {R('t', 'time')}, round(sqrt(pow(x - 7100000 * cos(0.00105 * t), 2) + y * y + pow(z - 7100000 * sin(0.00105 * t), 2)), 3) + 0.0 AS slant FROM t", 6)
+@query(f"WITH {_XYZ}, t AS (SELECT id, x, y, z, atan2(z, x) / 0.00105 AS t FROM x) SELECT id, round(t, 4) + 0.0 AS time, round(sqrt(pow(x - 7100000 * cos(0.00105 * t), 2) + y * y + pow(z - 7100000 * sin(0.00105 * t), 2)), 3) + 0.0 AS slant FROM t", 4)
 def ground_to_radar(spark, sf_dir):
     """Zero-Doppler time and range of targets on an orbit of state vectors; on a circle both have a closed form."""
     x = G.to_radar(_targets(spark, sf_dir), G.orbit_of(circle(spark)), _WAVE, right=False)

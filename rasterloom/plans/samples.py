@@ -35,7 +35,7 @@ def sample_masks(spark, sf_dir):
     )
 
 
-@query(f"WITH {REAL}, e AS (SELECT line, pixel, value, abs(value) AS m, floor(log2(abs(value))) AS r FROM px), f AS (SELECT *, pow(2.0, CASE WHEN pow(2.0, r) > m THEN r - 1 WHEN pow(2.0, r + 1) <= m THEN r + 1 ELSE r END - 10) AS u FROM e) SELECT line, pixel, CASE WHEN m > 0 THEN sign(value) * floor(m / u) * u ELSE value END AS value FROM f", 12)
+@query(f"WITH {REAL}, e AS (SELECT line, pixel, value, abs(value) AS m, floor(log2(abs(value))) AS r FROM px), f AS (SELECT *, pow(2.0, CASE WHEN pow(2.0, r) > m THEN r - 1 WHEN pow(2.0, r + 1) <= m THEN r + 1 ELSE r END - 10) AS u FROM e) SELECT line, pixel, round(CASE WHEN m > 0 THEN sign(value) * floor(m / u) * u ELSE value END, 12) + 0.0 AS value FROM f", 12)
 def truncated_mantissa(spark, sf_dir):
     return real(spark, sf_dir).select("line", "pixel", P.truncated(F.col("value"), 10).alias("value"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns as columns_of
-from .common import components, drop, unused, written
+from .common import components, drop, join_counted, unused, written
 
 SKETCH = 64
 #: Bits of a set's odd sketch, the parity of its shingles by hash; sets differ in at least as many shingles as their sketches do in bits.
@@ -183,8 +183,8 @@ def _labelled(docs: DataFrame, k: int, per_cent: int, r: int, m: int) -> DataFra
     # numbers given once and written: a doc_id that comes with several texts is in several classes
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     spread = classes.select("node", "n", F.explode("keys").alias("key"))
-    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head")
-    members = written(spread.join(heads, "key"), "members")
+    heads = written(spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
+    members = written(join_counted(spread, heads, ["key"], "size", ["node"]), "members")
     lone = classes.select("node", "n", "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -217,8 +217,9 @@ def _labelled(docs: DataFrame, k: int, per_cent: int, r: int, m: int) -> DataFra
     first = written(components(stars), "first")
     labelled = members.join(first.select("node", F.col("component").alias("c")), "node", "left")
     labelled = labelled.select("key", "node", "n", F.coalesce("c", "node").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    mixed = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high")
+    mixed_keys = written(mixed_keys.select("key", "size"), "keys")
+    mixed = written(join_counted(labelled, mixed_keys, ["key"], "size", ["node"]), "mixed")
     sets = sets_of(mixed.select("node").distinct())
     # Shingles that no other document of an open bucket has can't be common to any pair still in question.
     own = sets.select("node", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.min("node").alias("node"))
@@ -235,13 +236,15 @@ def _labelled(docs: DataFrame, k: int, per_cent: int, r: int, m: int) -> DataFra
         return x.select(*by, *(F.col(c).alias(f"{c}{i}") for c in columns))
 
     # a second star, about the member of each bucket with the fewest shingles of its own: mostly what the others were edited from
-    core = open_.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(F.col("n") - F.col("most"), "node")).alias("core"))
-    again = sides(open_, 1).join(sides(core.select("key", "core.*"), 2), "key").where(F.col("c1") != F.col("c2")).where(near)
+    core = open_.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(F.col("n") - F.col("most"), "node")).alias("core"), F.count("*").alias("rows"))
+    core = written(sides(core.select("key", "rows", "core.*"), 2, ("key", "rows")), "cores")
+    again = join_counted(sides(open_, 1), core, ["key"], "rows", ["node1"]).where(F.col("c1") != F.col("c2")).where(near)
     second = confirmed(again.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct(), sets)
     merged = written(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)), "merged")
     open_now = open_.drop("c").join(merged.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed_keys = open_now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / SPLIT).alias("parts")).where("low <> high")
-    rest = written(open_now.join(mixed_keys.select("key", "parts"), "key").select("key", "parts", *columns), "rest")
+    still = open_now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    still = written(still.select("key", F.ceil(F.col("rows") / SPLIT).alias("parts"), "rows"), "still")
+    rest = written(join_counted(open_now, still, ["key"], "rows", ["node"]).select("key", "parts", *columns), "rest")
     # a large bucket is cut into parts, and every two parts meet on their own, in tasks of their own
     part = F.pmod(F.xxhash64("node"), "parts")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
@@ -251,7 +254,7 @@ def _labelled(docs: DataFrame, k: int, per_cent: int, r: int, m: int) -> DataFra
     across = across.where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2"))).where(near)
     more = confirmed(across.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct(), sets)
     joined = written(components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "joined")
-    for x in (members, mixed, sets, open_, rest, first, merged, stars, second, more):
+    for x in (heads, members, mixed_keys, mixed, sets, open_, core, still, rest, first, merged, stars, second, more):
         drop(x)
     named = classes.select("h1", "h2", "n", "node", "doc").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -8,14 +8,15 @@ and, at a hit, compares the window around the word with the test n-gram word by
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, unused
 
-#: Windows that are broadcast at most (some 200 bytes each); beyond, the join shuffles.
-BROADCAST = 200_000
+#: Bytes of windows, with their items, that are broadcast at most; beyond, the join shuffles.
+BROADCAST = 64 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,6 +38,11 @@ def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     return grams.withColumn("a", anchor).select("gram", "items", "a.anchor", (-F.col("a.at")).alias("at"))
 
 
+def window_hashes(size: int) -> Column:
+    """Hashes of all windows of so many words of the array w, which has as many at least."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.slice("w", i + 1, size)))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast: int = BROADCAST) -> DataFrame:
     """Marks the words of docs that lie in any occurrence of a benchmark window.
 
@@ -51,15 +57,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     split = keyed.select("doc_id", "row", words(F.col("text")).alias("w"))
     begin = F.col("pos") - F.col("at")
-    if wanted.count() <= broadcast:
+    size_of = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", ",")) + 64
+    if (wanted.agg(F.sum(size_of)).first()[0] or 0) <= broadcast:
         # outer, as the inner form would split every text a second time to filter on its size
         placed = split.select("doc_id", "row", "w", F.posexplode_outer("w").alias("pos", "anchor"))
         placed = placed.join(F.broadcast(wanted), "anchor")
         placed = placed.where((begin >= 0) & (F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.size("gram")) == F.col("gram")))
         hits = placed.select("doc_id", "row", begin.alias("b"), (begin + F.size("gram")).alias("e"), "items")
     else:
-        placed = split.select("doc_id", "row", F.posexplode_outer("w").alias("pos", "anchor")).join(wanted, "anchor")
-        placed = placed.select("row", begin.alias("b"), "gram", "items").where("b >= 0")
+        # by the hash of whole windows, as a common word would bring its places to one task; no more than ``size`` lengths
+        lengths = sorted(x["n"] for x in wanted.select(F.size("gram").alias("n")).distinct().collect())
+        hashed = [
+            split.where(F.size("w") >= n).select("row", F.lit(n).alias("n"), F.posexplode(window_hashes(n)).alias("b", "h"))
+            for n in lengths
+        ]
+        placed = reduce(DataFrame.unionByName, hashed).join(wanted.select(F.size("gram").alias("n"), F.xxhash64("gram").alias("h"), "gram", "items"), ["n", "h"])
+        placed = placed.select("row", "b", "gram", "items")
         hits = placed.join(split.dropDuplicates(["doc_id", "row"]), "row").where(F.slice("w", F.col("b") + 1, F.size("gram")) == F.col("gram"))
         hits = hits.select("doc_id", "row", "b", (F.col("b") + F.size("gram")).alias("e"), "items")
     order = Window.partitionBy("doc_id", "row").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import encoder
+from .tokens import encoder, slices
 
 #: Cells (windows by queues) of the boundaries that are held at once.
 CELLS = 1 << 19
@@ -31,8 +31,7 @@ def _tokenise(path: str, end: int, kind: str):
         enc, part = encoder(path), TaskContext.get().partitionId()
         before: dict[str | None, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
+            for rows in slices(batch):
                 ids = [np.append(x, np.array([end], enc.dtype)) for x in enc.encode(rows["text"].to_pylist())]
                 starts = []
                 for source, x in zip(rows["queue"].to_pylist(), ids, strict=True):
@@ -107,13 +106,13 @@ def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width:
         offset = (np.cumsum(taken, axis=1) - taken)[mine] + begin - low[mine]
         keep = np.flatnonzero(stop > begin)
         doc, window, begin, stop, offset = (x[keep] for x in (doc, window, begin, stop, offset))
-        crc = np.empty(len(doc), np.int64)
-        for d in np.unique(doc):
-            ids = np.frombuffer(rows["ids"][int(d)].as_py(), dtype).astype("<u4")
-            for i in np.flatnonzero(doc == d):
-                crc[i] = zlib.crc32(ids[begin[i] - at[d] : stop[i] - at[d]])
+        crc, held, wide = [], -1, memoryview(b"")
+        for d, b, e in zip(doc.tolist(), (4 * (begin - at[doc])).tolist(), (4 * (stop - at[doc])).tolist(), strict=True):
+            if d != held:
+                held, wide = d, memoryview(np.frombuffer(rows["ids"][d].as_py(), dtype).astype("<u4").tobytes())
+            crc.append(zlib.crc32(wide[b:e]))
         return pa.RecordBatch.from_arrays(
-            [rows["doc_id"].take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(stop - begin), pa.array(crc), pa.array(n[doc]), pa.array(window), pa.array(offset)],
+            [rows["doc_id"].take(pa.array(doc)), pa.array(begin - at[doc]), pa.array(stop - begin), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(window), pa.array(offset)],
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
         )
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, written
-from .tokens import encoder
+from .tokens import encoder, slices
 
 MAGIC, SAMPLE, FILE_IDS = b"EFTOKEN1", 512, 1 << 22
 
@@ -177,8 +177,7 @@ def _write(path: str, end: int, folder: str):
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
+            for rows in slices(batch):
                 for d, x in zip(rows["doc_id"].to_pylist(), enc.encode(rows["text"].to_pylist()), strict=True):
                     doc_ids.append(d)
                     ids.append(np.append(x, np.array([end], enc.dtype)))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns as columns_of
-from .common import components, drop, join_counted, unused, written
+from .common import components, drop, hold, join_counted, unused, written
 
 SKETCH = 64
 #: Bits of a set's odd sketch, the parity of its shingles by hash; sets differ in at least as many shingles as their sketches do in bits.
@@ -108,6 +108,7 @@ def _signatures(sets: list[np.ndarray], r: int, m: int) -> tuple[np.ndarray, ...
 
 def _scan(k: int, r: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", _HASHES.clear)
         for batch in batches:
             at, total = 0, batch.num_rows
             while at < total:
@@ -139,6 +140,7 @@ def _set_rows(k: int):
     """The sets of the classes asked for, from rows with their doc_ids: rows of another text under that doc_id are left out, repeated ones told once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash", _HASHES.clear)
         told: tuple = (None, set())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hold, written
 from .tokens import encoder, slices
 
 #: Cells (windows by queues) of the boundaries that are held at once.
@@ -117,6 +117,7 @@ def _cut(queues: list, sizes: list[int], weights: list[float], room: int, width:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("cut")
         for batch in batches:
             for start in range(0, batch.num_rows, most):
                 rows = batch.slice(start, most)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hold
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -101,6 +101,7 @@ def _natural(m: re.Match) -> str:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Character pairs of all texts outside their candidates: bytes of 7 bits, anything else as 0."""
+    hold("secrets")
     total = np.zeros(1 << 14, np.int64)
     for batch in batches:
         for text in batch["text"]:
@@ -157,6 +158,7 @@ def _model(pairs: np.ndarray) -> np.ndarray:
 
 def _tested(logs: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("secrets")
         for batch in batches:
             p = []
             for text in batch["text"]:
@@ -196,6 +198,7 @@ def _told(spans: list[tuple[str, int, int]]) -> str:
 
 def _found(logs: np.ndarray, least: float, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("secrets")
         find = _Finder(logs, least, cut)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -214,6 +217,7 @@ def _found(logs: np.ndarray, least: float, cut: float):
 
 def _redacted(logs: np.ndarray, least: float, cut: float, text: int, length: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("secrets")
         find = _Finder(logs, least, cut)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

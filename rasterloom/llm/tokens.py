@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back, hold
+
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_BYTES)]
 _LETTERS = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
@@ -242,7 +244,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file; it keeps its caches from task to task."""
+    hold("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
+        give_back()  # the parsed file
     return _ENCODERS[path]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, hold, written
 
 #: Labelled rows of either label that training takes at most, first by a hash of doc_id.
 ROWS = 4000
@@ -71,6 +71,7 @@ def _counted(group: dict[str, tuple[str, ...]]):
     """Of a partition's texts, how many of either label have each feature, and whether a swap moves it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         have, moved = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
         for batch in batches:
             for y, text in zip(batch["toxic"].to_pylist(), batch["text"], strict=True):
@@ -88,6 +89,7 @@ def _chosen(chosen: np.ndarray, group: dict[str, tuple[str, ...]]):
     """The places in ``chosen`` of a text's features, and of those that each of its swaps takes and brings, with the swap's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         place = {f: i for i, f in enumerate(chosen.tolist())}
         for batch in batches:
             have, gone, come, pairs = [], [], [], []
@@ -197,6 +199,7 @@ class _Scorer:
 
 def _score(weights: dict[int, float], bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         score = _Scorer(weights, bias)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score(batch["text"]), pa.float64())], ["doc_id", "score"])
@@ -206,6 +209,7 @@ def _score(weights: dict[int, float], bias: float):
 
 def _below(weights: dict[int, float], bias: float, cut: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         score = _Scorer(weights, bias)
         for batch in batches:
             yield batch.filter(pa.array(score(batch[text]) < cut))

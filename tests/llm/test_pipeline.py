@@ -7,11 +7,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("rasterloom.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from rasterloom.llm import queries, secrets, toxicity  # noqa: E402
+from rasterloom.llm import common, minhash, queries, secrets, tokens, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -168,3 +169,19 @@ def test_stages_of_an_empty_table(spark, odd, name):
     df = odd[0].where("false")
     got = STAGE[name](spark, df, SF)
     assert got.collect() == [] and (name == NAMES[-1] or got.schema == df.schema)
+
+
+def test_a_worker_keeps_the_tables_of_one_stage(monkeypatch):
+    """Workers go from stage to stage; what the encoder or the shingles keep would add up in an executor's memory."""
+    monkeypatch.setattr(common, "_HELD", {})
+    docs = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "a few words of text", "t": 1}])
+    texts = [x.as_py() for x in docs["text"]]
+    kept = tokens.encoder(queries.tokenizer_path(queries.PACK_FILE))
+    kept.encode(texts)
+    assert tokens.encoder(queries.tokenizer_path(queries.PACK_FILE)) is kept and kept.stems
+    list(minhash._scan(3, 2, 6)([docs]))
+    assert not tokens._ENCODERS and minhash._HASHES
+    list(minhash._scan(3, 2, 6)([docs]))
+    assert minhash._HASHES
+    list(toxicity._score({}, 0.0)([docs]))
+    assert not minhash._HASHES

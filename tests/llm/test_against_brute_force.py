@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("rasterloom.llm")
 from rasterloom.llm import decontaminate, lattice, minhash, packing, pages, queries, secrets, substrings, token_files, toxicity  # noqa: E402
@@ -501,3 +502,68 @@ def test_copies_and_quotes_on_a_host_stay(spark):
     got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     want = dict(body) | {100 + i: story + (" print" if i == 2 else "") for i in range(8)} | {200 + i: story for i in range(3)}
     assert {i: x["text"] for i, x in got.items()} == want
+
+
+def whole_host(tokens, share):
+    """The words of each page of one host without the runs that ``share`` of its pages, none of them near-equal, hold."""
+    seen = defaultdict(set)
+    for i, t in tokens.items():
+        for j in range(len(t) - pages.LEAST + 1):
+            seen[tuple(t[j : j + pages.LEAST])].add(i)
+    need = max(pages.GROUPS, math.ceil(len(tokens) * share))
+    out = {}
+    for i, t in tokens.items():
+        gone = {j + k for j in range(len(t) - pages.LEAST + 1) if len(seen[tuple(t[j : j + pages.LEAST])]) >= need for k in range(pages.LEAST)}
+        out[i] = " ".join(x for j, x in enumerate(t) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("block", [pages.BLOCK, 20_000, 6000, 1500])
+def test_near_copies_stay_whatever_the_blocks(spark, block):
+    """60 near copies of a page beside 40 others are one page, however many blocks they lie in."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        t = [f"s{j}" for j in range(200)]
+        t[int(rng.integers(200))] = f"x{i}"
+        rows.append((i, "http://h.example/a", f"<div>{' '.join(t)}</div>"))
+    menu = " ".join(f"m{j}" for j in range(20))
+    rows += [(100 + i, "http://h.example/b", f"<div>{menu}</div><div>{' '.join(f'p{i}w{j}' for j in range(60))}</div>") for i in range(40)]
+    got = by_id(pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), block=block), "page_id")
+    want = {i: h[5:-6] for i, _, h in rows[:60]} | {100 + i: " ".join(f"p{i}w{j}" for j in range(60)) for i in range(40)}
+    assert {i: x["text"] for i, x in got.items()} == want
+
+
+@pytest.mark.parametrize("block", [pages.BLOCK, 6000, 2500, 900])
+def test_runs_are_counted_over_the_whole_host(spark, block):
+    """A run is cut if the share of the host's pages holds it, and one page less leaves it, though no block holds that share or some hold none."""
+    rng = np.random.default_rng(12)
+    tokens = {i: [f"p{i}w{j}" for j in range(40)] for i in range(60)}
+    for r, n in enumerate((17, 18, 19, 23, 24, 25, 30)):
+        for i in rng.choice(60, n, replace=False).tolist():
+            tokens[i] += [f"r{r}t{j}" for j in range(13)]
+    rows = [(i, "http://h.example/", f"<div>{' '.join(t)}</div>") for i, t in tokens.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for share in (0.3, 0.4):
+        got = by_id(pages.main_text(df, share=share, block=block), "page_id")
+        assert {i: x["text"] for i, x in got.items()} == whole_host(tokens, share)
+
+
+def test_near_equal_pages_by_their_full_sets(spark):
+    """Pairs just under and over the similarity that makes pages near-equal: sketches alone would mistake some."""
+    rng = np.random.default_rng(13)
+    rows, want = [], []
+    for i in range(60):
+        a = [f"p{i}w{j}" for j in range(200)]
+        b = list(a)
+        for j in range(4 + i % 2):  # a word changes five of 196 shingles
+            b[10 + 30 * j] = f"x{j}"
+        rows += [(2 * i, f"http://h{i}.example/", " ".join(a)), (2 * i + 1, f"http://h{i}.example/", " ".join(b[: int(rng.integers(196, 201))]))]
+        u, v = shingles(rows[-2][2], 5), shingles(rows[-1][2], 5)
+        want.append(5 * len(u & v) >= 4 * len(u | v))
+    assert 10 < sum(want) < 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("h", F.xxhash64("url"))
+    parsed = pages.written(df.mapInArrow(pages._parsed, "page_id long, url string, h long, shown string, keep string, told boolean, c long, sketch array<int>"), "parsed")
+    less = Counter(x["h"] for x in pages.lesser_copies(parsed).collect())
+    hosts = {x["page_id"] // 2: x["h"] for x in df.collect()}
+    assert [less[hosts[i]] for i in range(60)] == [int(x) for x in want]

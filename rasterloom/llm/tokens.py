@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from .common import give_back, hold
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_BYTES)]
 _LETTERS = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
+_TABLE = "".join(_LETTERS[b] for b in range(256))
 _LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Pre-tokens of chunks that hold only ASCII and Latin letters, as the file's own pattern has them.
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}]*")
@@ -39,6 +41,11 @@ _LIMIT = 500_000
 _BATCH = 2_000_000
 
 
+def _strings(column: pa.Array) -> list[str | None]:
+    """As to_pylist, which makes a scalar of every row first and takes many times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Encodes lists of texts to the arrays of ids that the library's plain call gives."""
 
@@ -97,21 +104,28 @@ class Encoder:
             return ids if len(stem) == len(word) else ids + self._piece(word[len(stem) :])
         return self._chunk(" " + word if spaced else word)
 
-    def _learn(self, stems: list[str]) -> None:
-        """Puts the ids of stems (letters alone, behind a space) that are not there yet into the table, many in one call of the model."""
-        pieces, space = self.stems, _LETTERS[32]
-        fresh = [(x, space + (x if x.isascii() else "".join(map(_LETTERS.__getitem__, x.encode())))) for x in stems if x not in pieces]
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """The ids of stems (letters alone, behind a space): new ones go to the model many in one call, and into the table."""
+        known = self.stems
+        out = list(map(known.get, stems))
+        fresh = [i for i, x in enumerate(out) if x is None] if None in out else []
         if not self.apart:
-            pieces.update((x, self._packed([y.id for y in self.model.tokenize(m)])) for x, m in fresh)
-            return
-        end = self.model.token_to_id(self.apart)
+            for i in fresh:
+                out[i] = known[stems[i]] = self._packed([x.id for x in self.model.tokenize(charmap_decode(f" {stems[i]}".encode(), "strict", _TABLE)[0])])
+            return out
+        end, size = self.model.token_to_id(self.apart), self.dtype.itemsize
+        letters = _TABLE[:10] + self.apart + _TABLE[11:]  # no stem holds the end of a line, which stands for the letter between them
         for at in range(0, len(fresh), 256):
             some = fresh[at : at + 256]
-            ids, begin = [x.id for x in self.model.tokenize(self.apart.join([*(m for _, m in some), ""]))], 0
-            for x, _ in some:
-                stop = ids.index(end, begin)
-                pieces[x] = self._packed(ids[begin:stop])
-                begin = stop + 1
+            names = [stems[i] for i in some]
+            mapped, _ = charmap_decode(f" {'\n '.join(names)}\n".encode(), "strict", letters)
+            ids = self._packed([x.id for x in self.model.tokenize(mapped)])
+            stops = np.flatnonzero(np.frombuffer(ids, self.dtype) == end) * size
+            begin = 0
+            for i, name, stop in zip(some, names, stops.tolist(), strict=True):
+                out[i] = known[name] = ids[begin:stop]
+                begin = stop + size
+        return out
 
     def _many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of spaced texts: Arrow splits them into words and tells the different ones; Python sees only stems that are new."""
@@ -123,11 +137,9 @@ class Encoder:
         at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         parts = pc.extract_regex(words, _STEM)
         stems, tails = (pc.struct_field(parts, i).dictionary_encode() for i in (0, 1))
-        stem_list = stems.dictionary.to_pylist()
-        self._learn(stem_list)
-        pool = [self.stems[x] for x in stem_list]
+        pool = self._stems(_strings(stems.dictionary))
         tail_base = len(pool)
-        pool += [self._piece(x) if x else b"" for x in tails.dictionary.to_pylist()]
+        pool += [self._piece(x) if x else b"" for x in _strings(tails.dictionary)]
         plain = parts.is_valid().to_numpy(zero_copy_only=False)
         first_seg = np.where(plain, stems.indices.fill_null(0).to_numpy(), 0).astype(np.int64)
         second_seg = np.where(plain, tails.indices.fill_null(0).to_numpy() + tail_base, 0).astype(np.int64)
@@ -136,7 +148,7 @@ class Encoder:
         second_seg[~plain] = none
         odd = np.zeros(len(words), bool)  # no words, as white space begins them: their texts are cut in another way
         others = np.flatnonzero(~plain)
-        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), strict=True):
+        for i, word in zip(others.tolist(), _strings(words.take(pa.array(others))), strict=True):
             if not word or word[0].isspace():
                 odd[i], first_seg[i] = True, none
                 continue

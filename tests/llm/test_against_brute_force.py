@@ -1,7 +1,9 @@
 """Each operator's query against a plain version that looks at everything."""
 
+import cProfile
 import hashlib
 import math
+import pstats
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -162,6 +164,25 @@ def test_ids_are_the_librarys(documents, name):
     assert [x.tolist() for x in Encoder(queries.tokenizer_path(name)).encode(texts)] == [whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("apart", [True, False])
+def test_new_words_reach_the_model_many_at_once(apart):
+    """Python's calls are counted, as its time for each new word is what packing's check ran over by."""
+    from rasterloom.llm.tokens import Encoder
+
+    parts = ["an", "the", "ti", "on", "é", "ou", "Wh", "sh", "ñ", "re", "ŝ", "ge", "ü", "À"]
+    words = ["".join(parts[i // len(parts) ** k % len(parts)] for k in range(4)) for i in range(0, 38_000, 7)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    enc, whole = Encoder(queries.tokenizer_path(queries.PACK_FILE)), encoder_of(queries.PACK_FILE)
+    assert enc.apart
+    if not apart:
+        enc.apart = ""
+    with cProfile.Profile() as calls:
+        got = enc.encode(texts)
+    assert [x.tolist() for x in got] == [x.tolist() for x in enc.encode(texts)] == [whole(t) for t in texts]
+    if apart:
+        assert pstats.Stats(calls).total_calls < len(set(words))
+
+
 def test_packing(spark, documents):
     encode = encoder_of(queries.PACK_FILE)
     ids = {d: encode(t) + [1] for d, t, _ in documents}

@@ -28,3 +28,20 @@ def test_bands_of_one_bin_are_dealt_out(spark, monkeypatch):
     want = sorted((n, m, max(a, c), min(b, d)) for _, n, a, b in rows[:300] for _, m, c, d in rows[300:] if a < d and c < b)
     assert sorted((r["name"], r["name2"], r["lo"], r["hi"]) for r in got) == want
     assert len({r["task"] for r in got}) > 1
+
+
+def runs(df, columns):
+    """How often the values of columns change from one row to the next of a task."""
+    rows = df.withColumn("task", F.spark_partition_id()).collect()
+    return sum(r["task"] != s["task"] or any(r[c] != s[c] for c in columns) for r, s in zip(rows, rows[1:], strict=False)) + 1, len({r["task"] for r in rows})
+
+
+def test_gaps_of_one_time_come_together(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART", 64, raising=False)
+    times = [(k * 37 % 50) * 0.5 for k in range(400)]
+    pulses = spark.createDataFrame(list(enumerate(times)), "pulse long, t double").coalesce(1)
+    got = joins.gap_mask(pulses, 2.0, 9.0, 0.5)
+    want = sorted((i, b - 0.5 - a, b + 0.5 - a) for i, a in enumerate(times) for b in times if b > a and a + 1.5 <= b <= a + 9.5)
+    assert sorted((r["pulse"], r["begin"], r["end"]) for r in got.collect()) == want
+    changes, tasks = runs(got, ["pulse", "begin"])
+    assert tasks > 1 and changes < len(want) / 2

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import joins
+from rasterloom.operators import joins, lookups
 from rasterloom.plans import raster
 
 
@@ -45,3 +45,18 @@ def test_gaps_of_one_time_come_together(spark, monkeypatch):
     assert sorted((r["pulse"], r["begin"], r["end"]) for r in got.collect()) == want
     changes, tasks = runs(got, ["pulse", "begin"])
     assert tasks > 1 and changes < len(want) / 2
+
+
+def test_overlaps_of_equal_blocks_come_in_order(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART", 64, raising=False)
+    blocks = [(i, float(i * 7 % 40), float(i * 7 % 40 + 20)) for i in range(300)]
+    spans = [(i, float(i * 11 % 60), float(i * 11 % 60 + 15)) for i in range(300)]
+    b = spark.createDataFrame(blocks, "block long, b0 double, b1 double").coalesce(1)
+    got = lookups.block_overlaps(b, spark.createDataFrame(spans, "span long, s0 double, s1 double").coalesce(1), 200.0)
+    want = sorted((i, j) for i, b0, b1 in blocks for j, s0, s1 in spans if b0 <= s1 and s0 <= b1)
+    assert sorted((r["block"], r["span"]) for r in got.collect()) == want
+    changes, tasks = runs(got, ["block"])
+    assert tasks > 1 and changes < len(want) / 10
+    start, rows = {i: s0 for i, s0, _ in spans}, got.collect()
+    falls = sum(r["block"] == s["block"] and start[r["span"]] > start[s["span"]] for r, s in zip(rows, rows[1:], strict=False))
+    assert falls < len(want) / 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,11 +85,19 @@ def regular_channels(channels: DataFrame) -> DataFrame:
     return x.select(name.alias("freq"), "pol", "lo", "hi").distinct()
 
 
+def held(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often ``use`` has it: a column named in an expression is written out at each place, so nested steps would grow as powers."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def polygon_area(corners: Column) -> Column:
     """Area of a polygon, an array of (x, y) structs without the first repeated."""
-    n = F.size(corners)
-    both = F.zip_with(corners, F.concat(F.slice(corners, 2, n), F.slice(corners, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(both, F.lit(0.0), lambda s, x: s + x)) / 2
+
+    def area(p: Column) -> Column:
+        both = F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.abs(F.aggregate(both, F.lit(0.0), lambda s, x: s + x)) / 2
+
+    return held(corners, area)
 
 
 def clipped(corners: Column, box: tuple[float, float, float, float]) -> Column:
@@ -109,8 +117,11 @@ def clipped(corners: Column, box: tuple[float, float, float, float]) -> Column:
         n = F.size(p)
         return F.flatten(F.zip_with(p, F.concat(F.slice(p, 2, n), F.slice(p, 1, 1)), step))
 
-    for axis, limit, over in (("x", box[0], True), ("x", box[2], False), ("y", box[1], True), ("y", box[3], False)):
-        corners = F.when(F.size(corners) > 0, side(corners, axis, limit, over)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    def cut(*at: object) -> Callable[[Column], Column]:
+        return lambda p: F.when(F.size(p) > 0, side(p, *at)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+    for at in (("x", box[0], True), ("x", box[2], False), ("y", box[1], True), ("y", box[3], False)):
+        corners = held(corners, cut(*at))
     return corners
 
 

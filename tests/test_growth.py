@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import joins, lookups
+from rasterloom.operators import antenna, joins, lookups
 from rasterloom.plans import raster
 
 
@@ -60,3 +60,12 @@ def test_overlaps_of_equal_blocks_come_in_order(spark, monkeypatch):
     start, rows = {i: s0 for i, s0, _ in spans}, got.collect()
     falls = sum(r["block"] == s["block"] and start[r["span"]] > start[s["span"]] for r, s in zip(rows, rows[1:], strict=False))
     assert falls < len(want) / 20
+
+
+def test_clipping_is_written_out_once(spark):
+    """Each of four sides had the polygon before it some five times: the expression grew as their product."""
+    df = spark.createDataFrame([(1, [(-5.0, -4.0), (1.0, -4.0), (1.0, 1.0), (-5.0, 1.0)]), (2, []), (3, None), (4, [(2.0, 2.0), (12.0, 2.0), (2.0, 12.0)])], "id long, p array<struct<x:double,y:double>>")
+    got = df.select("id", antenna.polygon_area(antenna.clipped(F.col("p"), (0.0, 0.0, 10.0, 8.0))).alias("a"))
+    # the triangle under x + y = 14 without its tips over x = 10 and y = 8
+    assert {r["id"]: r["a"] for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 50.0 - 2.0 - 8.0}
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000

@@ -69,3 +69,19 @@ def test_clipping_is_written_out_once(spark):
     # the triangle under x + y = 14 without its tips over x = 10 and y = 8
     assert {r["id"]: r["a"] for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 50.0 - 2.0 - 8.0}
     assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000
+
+
+def test_lookups_do_not_send_probes_through_the_driver(spark, monkeypatch):
+    """The probes look small to the planner, as their taps are not counted."""
+    grid = spark.range(8 * 9).select(F.floor(F.col("id") / 9).alias("iy"), (F.col("id") % 9).alias("ix"), (F.floor(F.col("id") / 9) * 10.0 + F.col("id") % 9).alias("v"))
+    probes = spark.createDataFrame([(i, 1.0 + i % 5, 1.0 + i % 6) for i in range(20)], "probe long, y double, x double").where("probe < 3")
+    for kind, lookup in joins.INTERPOLATORS.items():
+        monkeypatch.setattr(joins, "HELD", 72, raising=False)
+        got = lookup(probes, grid, 8, 9)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan, kind
+        assert {r["probe"]: round(r["value"], 9) for r in got.collect()} == {0: 11.0, 1: 22.0, 2: 33.0}
+        monkeypatch.setattr(joins, "HELD", 71)
+        got = lookup(probes, grid, 8, 9)
+        assert "SortMergeJoin" in got._jdf.queryExecution().sparkPlan().toString(), kind
+        assert {r["probe"]: round(r["value"], 9) for r in got.collect()} == {0: 11.0, 1: 22.0, 2: 33.0}

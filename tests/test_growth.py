@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import antenna, joins, lookups
+from rasterloom.operators import antenna, joins, kernels, lookups
 from rasterloom.plans import raster
 
 
@@ -85,3 +85,15 @@ def test_lookups_do_not_send_probes_through_the_driver(spark, monkeypatch):
         got = lookup(probes, grid, 8, 9)
         assert "SortMergeJoin" in got._jdf.queryExecution().sparkPlan().toString(), kind
         assert {r["probe"]: round(r["value"], 9) for r in got.collect()} == {0: 11.0, 1: 22.0, 2: 33.0}
+
+
+def test_point_target_is_upsampled_once_and_by_directions(monkeypatch):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(6, 8)) + 1j * rng.normal(size=(6, 8))
+    f, g = np.fft.fftfreq(6, 1 / 6), np.fft.fftfreq(8, 1 / 8)
+    y, x = np.arange(24) / 4, np.arange(32) / 4
+    want = np.exp(2j * np.pi * np.outer(y, f) / 6) @ np.fft.fft2(z) @ np.exp(2j * np.pi * np.outer(g, x) / 8) / 48
+    monkeypatch.setattr(np.fft, "ifft2", None)
+    got = kernels.point_target(z, 4)
+    i, j = np.unravel_index((np.abs(want) ** 2).argmax(), want.shape)
+    assert (got["y"], got["x"]) == (i / 4, j / 4) and abs(got["peak"] - abs(want[i, j]) ** 2) < 1e-9 and abs(got["phase"] - np.angle(want[i, j])) < 1e-9
